@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import language, mixing, packing, quality, toxicity, url_filter
+from quire.llm import language, media_ts, mixing, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op2_quality": quality.op2,
     "op3_mixing": mixing.op3,
+    "op4_media_ts": media_ts.op4,
     "op5_language": language.op5,
     "op8_toxicity": toxicity.op8,
     "op9_url_filter": url_filter.op9,
