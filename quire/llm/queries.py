@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import jaccard_join, language, media_ts, mixing, packing, quality, toxicity, url_filter
+from quire.llm import html_text, jaccard_join, language, media_ts, mixing, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op2_quality": quality.op2,
     "op3_mixing": mixing.op3,
     "op4_media_ts": media_ts.op4,
     "op5_language": language.op5,
+    "op6_html_text": html_text.op6,
     "op7_jaccard_join": jaccard_join.op7,
     "op8_toxicity": toxicity.op8,
     "op9_url_filter": url_filter.op9,
