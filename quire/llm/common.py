@@ -37,6 +37,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_share(key: Column, bound: int, total: int, salt: int = 0) -> Column:
+    """True for about bound of total rows, chosen by a hash of key: a sample of bounded size without a sort or a shuffle."""
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < int(min(1.0, bound / max(total, 1)) * (1 << 40))
+
+
 def slices(lengths, budget: int):
     """Index ranges of consecutive items whose lengths sum to about budget at most (one item at least)."""
     start, total = 0, 0

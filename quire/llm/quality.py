@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, slices, table
+from quire.llm.common import hashed_share, held_out, slices, table
 
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 20_000
 THRESHOLD = 0.7
-SLICE = 8_000_000
+SLICE = 2_000_000
 _K = 16
 LONGEST = 12
 N_FEATURES = _K * _K + LONGEST + 6
@@ -175,29 +175,25 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray) -> Model:
     return Model(mean, scale, w, b, prior, 0.0)
 
 
-def _sampled(rows: DataFrame, bound: int) -> np.ndarray:
-    """Features of at most bound rows, chosen by a hash of the text; computed in the tasks."""
-    some = rows.select("text").orderBy(F.xxhash64("text")).limit(bound)
+def _gathered(rows: DataFrame) -> np.ndarray:
+    """Features of a bounded sample of rows, computed in the tasks that read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, x in batch_features(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    got = some.repartition(12).mapInArrow(run, "x binary").collect()  # bound x N_FEATURES x 4 bytes
-    return np.array([np.frombuffer(r["x"], np.float32) for r in got]).reshape(-1, N_FEATURES)
+    got = rows.select("text").mapInArrow(run, "x binary").collect()  # the sample's bound x N_FEATURES x 4 bytes
+    return np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in got)), np.float32).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """docs(doc_id, text), labels(doc_id, quality): both already without held-out rows."""
+    """docs(doc_id, text), labels(doc_id, quality): both already without held-out rows. Sample sizes are bounds in expectation (a hash decides)."""
     good = labels.where("quality = 1").select("doc_id").distinct()
     docs = docs.where("text IS NOT NULL").select("doc_id", "text")
-    marked = labels.where("quality IS NOT NULL").agg(F.countDistinct("doc_id")).first()[0]
-    share = min(1.0, 4.0 * max_positive / max(marked, 1))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    positives = _sampled(docs.where(pick).join(good.where(pick), "doc_id", "left_semi"), max_positive)
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) < 4)
-    unlabelled = _sampled(rows, max_unlabelled)
+    some = good.where(hashed_share(F.col("doc_id"), max_positive, good.count()))
+    positives = _gathered(docs.join(F.broadcast(some), "doc_id", "left_semi"))  # max_positive ids
+    unlabelled = _gathered(docs.where(hashed_share(F.col("doc_id"), max_unlabelled, docs.count(), 1)))
     return fit(positives, unlabelled)
 
 
