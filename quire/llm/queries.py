@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import html_text, jaccard_join, language, media_ts, mixing, packing, quality, toxicity, url_filter
+import corpus_pipeline
+from quire.llm import ann, html_text, jaccard_join, language, media_ts, mixing, packing, quality, toxicity, url_filter
 
 QUERIES = {
+    "op1_ann": ann.op1,
     "op2_quality": quality.op2,
     "op3_mixing": mixing.op3,
     "op4_media_ts": media_ts.op4,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_url_filter": url_filter.op9,
     "op10_packing": packing.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
