@@ -6,9 +6,9 @@ partition's global offset by a prefix sum. Pass 2 adds the two and cuts each doc
 borders; a document that crosses a border has a record on both sides. No row moves between
 executors and no order is needed in pass 2.
 
-Tokenizer speed: a text is cut at ASCII blanks first; the vocabulary's pattern never joins characters across white
-space, so a text's ids are the ids of its chunks in order, and each distinct chunk is tokenized once a
-worker and looked up after that.
+Tokenizer speed: a text is cut at white space first; the vocabulary's pattern never joins characters across white
+space, so a text's ids are the ids of its chunks in order. Each distinct chunk, and each distinct lower-cased run of
+letters in chunks, is tokenized once a worker and looked up after that.
 """
 
 from __future__ import annotations
@@ -28,12 +28,40 @@ LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's chunk table; it starts anew when full.
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 1_200_000
 _CHUNK = re.compile(r"[^ \t\n\r]+")
+#: Chunks whose letter runs can be tokenized apart: no apostrophe, no combining mark, no letter outside the class below.
+_SIMPLE = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
+_RUN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+|[^a-zA-ZÀ-ÖØ-öø-ÿ]+")
+
+
+class ChunkTable(dict):
+    """chunk -> its ids as bytes; a chunk not seen before is tokenized from its lower-cased letter runs, which have a table too."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.kind, self.runs = tokenizer, kind, {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def run(self, text: str) -> bytes:
+        got = self.runs.get(text)
+        if got is None:
+            got = self.runs[text] = self.ids(text)
+        return got
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= MAX_CHUNKS:
+            self.clear()
+            self.runs.clear()
+        simple = _SIMPLE.fullmatch(chunk) and "<|" not in chunk
+        got = self[chunk] = b"".join([self.run(r) for r in _RUN.findall(chunk.lower())]) if simple else self.ids(chunk)
+        return got
 
 
 class ChunkTokenizer:
-    """ids of whole texts, as bytes of little-endian uint32, through a table of distinct chunks."""
+    """ids of whole texts, little-endian, 2 bytes each where the vocabulary allows, through a table of distinct chunks."""
 
     def __init__(self, path: str):
         import os
@@ -41,20 +69,14 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if tokenizer.get_vocab_size() <= 65536 else 4
+        self.known = ChunkTable(tokenizer, f"<u{self.width}")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CHUNK.findall(t) for t in texts]
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        known = self.known
-        new = list({c for s in split for c in s if c not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u2" if not e.ids or max(e.ids) < 65536 else "<u4").astype("<u4").tobytes()
-        return [b"".join([known[c] for c in s]) for s in split]
+    def encode(self, text: str) -> bytes:
+        # str.split also cuts at these four control characters, which the vocabulary's pattern takes for symbols
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return b"".join(map(self.known.__getitem__, _CHUNK.findall(text) if odd else text.split()))
 
 
 _WORKER: dict[str, ChunkTokenizer] = {}
@@ -69,31 +91,23 @@ def _tokenizer(name: str) -> ChunkTokenizer:
 
 
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """doc_id, part, local (offset in the partition), doc_tokens, ids (little-endian uint16 if they fit, width says)."""
+    """doc_id, part, local (offset in the partition), doc_tokens, width (bytes an id), ids (little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, offset, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")
+        part, offset = TaskContext.get().partitionId(), 0
         t = _tokenizer(tokenizer)
+        end = int(end_id).to_bytes(t.width, "little")
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 some = batch.slice(k, 1000)
-                texts = [x or "" for x in some.column("text").to_pylist()]
-                ids = [np.concatenate([np.frombuffer(b, "<u4"), end]) for b in t.encode(texts)]
-                lengths = np.array([len(i) for i in ids], np.int64)
+                ids = [t.encode(x or "") + end for x in some.column("text").to_pylist()]
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // t.width
                 local = offset + np.cumsum(lengths) - lengths
                 offset += int(lengths.sum())
-                narrow = [i.size == 0 or int(i.max()) < 65536 for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column("doc_id"),
-                        pa.array(np.full(len(ids), part, np.int32)),
-                        pa.array(local),
-                        pa.array(lengths),
-                        pa.array([2 if n else 4 for n in narrow], pa.int32()),
-                        pa.array([i.astype("<u2" if n else "<u4").tobytes() for i, n in zip(ids, narrow, strict=True)], pa.binary()),
-                    ],
+                    [some.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(local), pa.array(lengths), pa.array(np.full(len(ids), t.width, np.int32)), pa.array(ids, pa.binary())],
                     ["doc_id", "part", "local", "doc_tokens", "width", "ids"],
                 )
 
