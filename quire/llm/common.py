@@ -30,11 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df once as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    batch_rows: most rows in an Arrow batch while it is written, where rows hold whole texts."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that materialise wrote, once everything made of it has been written too."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hashed_share(key: Column, bound: int, total: int, salt: int = 0) -> Column:

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, slices, table
+from quire.llm.common import discard, materialise, slices, table
 
 K = 5
 #: A link needs 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 80
 EPS = 1 - PERCENT / 100
-DIMS = 64
+MIN_DIMS, MAX_DIMS = 128, 4096
 #: Signatures in one exchange block's partition; members up to which a region's pairs are listed; bytes of text a slice.
 PER_PART = 1_500_000
 SMALL = 4
@@ -42,6 +42,8 @@ SLICE = 4_000_000
 MAX_BROADCAST = 1_000_000
 #: A region's largest class is dealt out in blocks of so many members.
 BLOCK = 20_000
+#: Regions a document is known by when two of them are asked for an earlier region in common.
+EARLIER = 16
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -116,7 +118,19 @@ def set_id(u: np.ndarray) -> int:
 
 
 def counts_of(u: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((u & _U(DIMS - 1)).astype(np.int64), minlength=DIMS), 65535).astype("<u2").tobytes()
+    """Shingles counted by the low bits of their hashes, in 2 to 4 times fewer cells than shingles, one or two bytes each."""
+    dims = MIN_DIMS
+    while dims < MAX_DIMS and dims * 4 < len(u):
+        dims *= 2
+    n = np.bincount((u & _U(dims - 1)).astype(np.int64), minlength=dims)
+    return bytes([int(n.max()) > 255]) + np.minimum(n, 65535).astype("<u2" if n.max() > 255 else "u1").tobytes()
+
+
+def vectors(packed: list[bytes]) -> np.ndarray:
+    """Count vectors of equal length: longer ones are folded, which keeps the distance a lower bound."""
+    raw = [np.frombuffer(p, "<u2" if p[0] else "u1", offset=1).astype(np.int32) for p in packed]
+    dims = min((len(v) for v in raw), default=MIN_DIMS)
+    return np.stack([v.reshape(-1, dims).sum(0) for v in raw]) if raw else np.zeros((0, dims), np.int32)
 
 
 class Plan:
@@ -262,20 +276,39 @@ def weighted_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1 - np.minimum(x, y).sum(-1) / np.maximum(np.maximum(x, y).sum(-1), 1)
 
 
-def metric_join(x: np.ndarray, group: np.ndarray, eps: float = EPS, leaf: int = 48, cells: int = 8, depth: int = 0) -> list[tuple[int, int]]:
+def _across(x: np.ndarray, group: np.ndarray, tol: float, met: list[list[np.ndarray]] | None = None) -> list[tuple[int, int]]:
+    """Pairs i < j of different groups within tol: every row outside the largest group against all rows.
+
+    met: for each row, the rows it has met elsewhere already; such pairs are left out."""
+    _, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    minor = of != sizes.argmax()
+    open_ = np.ones(len(x), bool)
+    out = []
+    for i in np.flatnonzero(minor):
+        open_[i] = False
+        ask = group != group[i]
+        ask &= open_ | ~minor
+        if met is not None:
+            for rows in met[i]:
+                ask[rows] = False
+        j = np.flatnonzero(ask)
+        if len(j):
+            near = j[weighted_distance(x[i], x[j]) <= tol]
+            out += [(min(int(i), k), max(int(i), k)) for k in near.tolist()]
+    return out
+
+
+def metric_join(x: np.ndarray, group: np.ndarray, met: list[list[np.ndarray]] | None = None, eps: float = EPS, leaf: int = 64, cells: int = 8, depth: int = 0) -> list[tuple[int, int]]:
     """Pairs i < j of different groups within eps of each other, by recursive Voronoi cells of pivots.
 
     A document belongs to its nearest pivot's cell and is copied into every cell whose pivot is at most 2 eps farther;
-    if i is at home in a cell and j is within eps of i, j is in that cell too."""
+    if i is at home in a cell and j is within eps of i, j is in that cell too. What a split doesn't shrink is compared directly."""
     tol = eps + 1e-9
-    if len(np.unique(group)) < 2:
+    _, sizes = np.unique(group, return_counts=True)
+    if len(sizes) < 2:
         return []
-    if len(x) <= leaf or depth > 8:
-        out = []
-        for i in range(len(x) - 1):
-            near = np.flatnonzero((weighted_distance(x[i], x[i + 1 :]) <= tol) & (group[i + 1 :] != group[i])) + i + 1
-            out += [(i, int(j)) for j in near]
-        return out
+    if len(x) <= leaf or depth > 8 or len(x) - sizes.max() <= cells:
+        return sorted(set(_across(x, group, tol, met)))
     pivots = [0]
     far = weighted_distance(x, x[0])
     d = [far]
@@ -286,27 +319,43 @@ def metric_join(x: np.ndarray, group: np.ndarray, eps: float = EPS, leaf: int =
     dist = np.stack(d, axis=1)
     home = dist.argmin(1)
     window = dist <= dist[np.arange(len(x)), home][:, None] + 2 * tol
+    if window.sum() > 0.7 * window.size:
+        return sorted(set(_across(x, group, tol, met)))
     found: set[tuple[int, int]] = set()
     for c in range(len(pivots)):
         members = np.flatnonzero(window[:, c])
-        if not (home[members] == c).any():
-            continue
-        stuck = len(members) > 0.9 * len(x)
-        found.update((int(members[i]), int(members[j])) for i, j in metric_join(x[members], group[members], eps, leaf, cells, 99 if stuck else depth + 1))
-        if stuck and len(members) == len(x):
-            break
+        if (home[members] == c).any():
+            at = np.full(len(x), -1)
+            at[members] = np.arange(len(members))
+            own = [[(r := at[rows])[r >= 0] for rows in met[i]] for i in members] if met is not None else None
+            found.update((int(members[i]), int(members[j])) for i, j in metric_join(x[members], group[members], own, eps, leaf, cells, depth + 1 if len(members) < 0.9 * len(x) else 99))
     return sorted(found)
 
 
 def _region_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a region's documents that are of different classes and may link; pairs that meet in an earlier region are left to that one."""
     pdf = pdf.drop_duplicates("node").sort_values("node")
-    x = np.stack([np.frombuffer(v, "<u2") for v in pdf["vec"]]).astype(np.int32)
-    pairs = metric_join(x, pdf["label"].to_numpy())
-    node = pdf["node"].to_numpy()
-    ij = np.array(pairs, np.int64).reshape(-1, 2)
+    region, node = pdf["region"].iloc[0], pdf["node"].to_numpy()
+    earlier = [np.asarray(r, np.int64) for r in pdf["regions"]]
+    earlier = [r[r < region] for r in earlier]
+    rows = np.repeat(np.arange(len(node)), [len(r) for r in earlier])
+    flat = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
+    order = np.argsort(flat, kind="stable")
+    cuts = np.flatnonzero(np.diff(flat[order])) + 1
+    shared = dict(zip(flat[order][np.concatenate([[0], cuts])].tolist(), np.split(rows[order], cuts), strict=True)) if len(flat) else {}
+    met = [[shared[r] for r in own.tolist()] for own in earlier]
+    ij = np.array(metric_join(vectors(pdf["vec"].tolist()), pdf["label"].to_numpy(), met), np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": node[ij[:, 0]], "b": node[ij[:, 1]]})
 
 
+def _links(u: np.ndarray, v: np.ndarray) -> bool:
+    n = len(u) + len(v)
+    least = -(-PERCENT * n // (100 + PERCENT))  # 100 * i >= PERCENT * (n - i)
+    if min(len(u), len(v)) < least:
+        return False
+    return len(np.intersect1d(u, v, assume_unique=True)) >= max(least, 1)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text_a, text_b) -> the pairs that link, by their whole sets."""
     last: dict[int, np.ndarray] = {}
@@ -323,16 +372,18 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         last.clear()
                     u = last[node] = shingle_sets([(text[k].as_py() or "").encode("utf-8", "surrogatepass")])[0]
                 both.append(u)
-            inter = len(np.intersect1d(*both, assume_unique=True))
-            keep[k] = 100 * inter >= PERCENT * (len(both[0]) + len(both[1]) - inter) and inter > 0
+            keep[k] = _links(*both)
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose count vectors are within the threshold: none that links is lost."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, DIMS).astype(np.int32) for c in ("vec_a", "vec_b"))
-        keep = pa.array(weighted_distance(x, y) <= EPS + 1e-9)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+        keep = []
+        for a, b in zip(batch.column("vec_a").to_pylist(), batch.column("vec_b").to_pylist(), strict=True):
+            x, y = vectors([a, b])
+            keep.append(bool(weighted_distance(x, y) <= EPS + 1e-9))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,18 +407,22 @@ class Texts:
     nodes: DataFrame  # node, doc_id, vec
 
 
+def _texts_of(nodes: DataFrame, texts: Texts) -> DataFrame:
+    """node, text of the given nodes."""
+    ids = materialise(texts.nodes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of")), "nodes")
+    docs = texts.docs.where("text IS NOT NULL")
+    small = ids.count() <= MAX_BROADCAST
+    some = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["of"]).select("node", "text")
+    return materialise(some.mapInArrow(_own_text, "node long, text string"), "texts", 500)
+
+
 def _verify(pairs: DataFrame, texts: Texts) -> DataFrame:
     """The pairs (a, b) that link."""
     pairs = materialise(pairs, "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = materialise(texts.nodes.join(need, "node", "left_semi").select("node", F.col("doc_id").alias("of")), "nodes")
-    small = ids.count() <= MAX_BROADCAST
-    docs = texts.docs.where("text IS NOT NULL")
-    some = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["of"]).select("node", "text")
-    some = materialise(some.mapInArrow(_own_text, "node long, text string"), "texts")
+    some = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
     with_b = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"), "links")
+    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"), "links", 200)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -390,6 +445,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _labelled(df: DataFrame, label: DataFrame, c: str) -> DataFrame:
+    """df plus label_<c>, the class so far of the node in column c."""
+    own = label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    return df.join(own, c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
 
@@ -398,35 +459,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, int(chars / 6 * 0.5 / PER_PART) + 1)
-    signed = materialise(docs.mapInArrow(_sign(parts), SIGNED), "signed")
-    rows = signed.where("part IS NULL").select("doc_id", "n", "node")
+    signed = materialise(docs.mapInArrow(_sign(parts), SIGNED), "signed", 2000)
+    rows = materialise(signed.where("part IS NULL").select("doc_id", "n", "node"), "rows")
     blocks = signed.where("part IS NOT NULL").select("part", "keys", "which", "nodes", "sizes")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("vec").alias("vec"))
     nodes = materialise(nodes, "classes")
     found = materialise(blocks.repartition(parts, "part").groupBy("part").applyInPandas(_regions, REGIONS), "regions")
+    discard(signed)
     pairs = found.where("region = -1").select("a", "b").distinct()
     vec = nodes.select("node", "vec")
     near = pairs.join(vec.select(F.col("node").alias("a"), F.col("vec").alias("vec_a")), "a").join(vec.select(F.col("node").alias("b"), F.col("vec").alias("vec_b")), "b")
     pairs = materialise(near.select("a", "b", "vec_a", "vec_b").mapInArrow(_near, "a long, b long"), "near")
     texts = Texts(docs, nodes)
-    # first every document with its least pivot
-    first = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = _verify(first, texts)
+    # first every document with its least pivot, then with the other pivots that are in another class still
+    done = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = _verify(done, texts)
     label = materialise(components(links), "labels")
-    known = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
-    apart = known(known(pairs.join(first, ["a", "b"], "left_anti"), "a"), "b").where("label_a <> label_b").select("a", "b")
-    # then regions that hold several classes: their largest class in blocks, the rest copied to each block
-    members = found.where("region <> -1").select("region", F.col("a").alias("node")).distinct()
-    mixed = known(members.withColumnRenamed("node", "a"), "a").select("region", F.col("a").alias("node"), F.col("label_a").alias("label"))
-    mixed = materialise(mixed.join(mixed.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region"), "region", "left_semi"), "mixed")
+    more = pairs.join(done, ["a", "b"], "left_anti")
+    more = materialise(_labelled(_labelled(more, label, "a"), label, "b").where("label_a <> label_b").select("a", "b"), "second")
+    links = materialise(links.unionByName(_verify(more, texts)), "links-2")
+    done = done.unionByName(more)
+    label = materialise(components(links), "labels-2")
+    # then regions that hold several classes: the largest class is dealt out in blocks, the other documents are copied to each block
+    members = found.where("region <> -1").select("region", "a").distinct()
+    mixed = materialise(_labelled(members, label, "a").select("region", F.col("a").alias("node"), F.col("label_a").alias("label")), "members")
+    several = mixed.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
+    mixed = materialise(mixed.join(several, "region", "left_semi"), "mixed")
     sizes = mixed.groupBy("region", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k"))
     blocks_of = F.ceil(F.col("k") / BLOCK).cast("int")
     dealt = mixed.join(main, "region").withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), blocks_of).cast("int"))).otherwise(F.sequence(F.lit(0), blocks_of - 1))))
-    dealt = dealt.join(vec, "node").select("region", "block", "node", "label", "vec")
-    more = dealt.groupBy("region", "block").applyInPandas(_region_pairs, "a long, b long")
-    rest = apart.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(_verify(rest, texts)), "all-links")
+    of = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("region")), 1, EARLIER).alias("regions")).join(vec, "node")
+    rest = dealt.join(of, "node").select("region", "block", "node", "label", "vec", "regions").groupBy("region", "block").applyInPandas(_region_pairs, "a long, b long")
+    rest = rest.distinct().join(done, ["a", "b"], "left_anti")
+    links = materialise(links.unionByName(_verify(rest, texts)), "links-3")
     label = components(links)
     named = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
