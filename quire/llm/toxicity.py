@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chars
-from quire.llm.common import held_out, materialise, slices, table
+from quire.llm.common import hashed_share, held_out, materialise, slices, table
 
 #: Bound of the labelled rows that the lexicon and the scorer are fitted on; most patterns kept; least support and precision of one.
 MAX_LABELLED = 40_000
@@ -224,10 +224,8 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nd
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Grammar:
     """docs(doc_id, text), labels(doc_id, toxic): both already without held-out rows. Without both classes every score is the base rate."""
     marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = marks.count()
-    share = min(1.0, max_labelled / max(n, 1))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = docs.where("text IS NOT NULL").where(pick).select("doc_id", "text").join(marks.where(pick), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    some = marks.where(hashed_share(F.col("doc_id"), max_labelled, marks.count()))
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))  # max_labelled ids
     # near copies teach a lexicon nothing new: one row of those that share their least hashed word triple
     words = F.split(F.lower("text"), r"\s+")
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("ws", i, 3)))
