@@ -60,6 +60,16 @@ def hashed_share(key: Column, bound: int, total: int, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < int(min(1.0, bound / max(total, 1)) * (1 << 40))
 
 
+_WORKER_TABLES: dict[str, dict] = {}
+
+
+def worker_tables(name: str) -> dict:
+    """An operator's own tables in this Python worker. Workers outlive tasks, so tables of other operators are dropped here."""
+    for other in [k for k in _WORKER_TABLES if k != name]:
+        del _WORKER_TABLES[other]
+    return _WORKER_TABLES.setdefault(name, {})
+
+
 def slices(lengths, budget: int):
     """Index ranges of consecutive items whose lengths sum to about budget at most (one item at least)."""
     start, total = 0, 0
