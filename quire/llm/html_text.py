@@ -98,6 +98,24 @@ def parse(page: str) -> list[Token]:
     return out
 
 
+def blocks(tokens: list[Token]) -> Iterator[tuple[tuple[str, ...], str]]:
+    """(path of its first text, text) of each block outside boilerplate elements, in page order."""
+    path: tuple[str, ...] = ()
+    held: list[str] = []
+    for t in tokens:
+        if t.kind == "text":
+            if not t.noise:
+                if not held:
+                    path = t.path
+                held.append(t.text)
+        elif t.name in BLOCK and held:
+            if text := _SPACE.sub(" ", html.unescape("".join(held))).strip():
+                yield path, text
+            held = []
+    if held and (text := _SPACE.sub(" ", html.unescape("".join(held))).strip()):
+        yield path, text
+
+
 @dataclass
 class Template:
     """Paths of the skeleton's elements in order, the content element's path, and texts that every page repeats in it."""
@@ -114,8 +132,8 @@ def deduce(pages: list[list[Token]]) -> Template:
         for t in tokens:
             if t.kind == "open":
                 vectors[("open", t.path)][i] += 1
-            elif t.kind == "text" and (words := _SPACE.sub(" ", t.text).strip()):
-                vectors[("text", t.path, words)][i] += 1
+        for path, text in blocks(tokens):
+            vectors[("text", path, text)][i] += 1
     classes: dict[tuple[int, ...], set[tuple]] = defaultdict(set)
     for token, v in vectors.items():
         classes[tuple(v)].add(token)
@@ -163,19 +181,8 @@ def extract(tokens: list[Token], template: Template) -> str:
             if content:
                 break
     depth = len(content) if content else 0
-    blocks: list[list[str]] = [[]]
-    for t in tokens:
-        if content and t.path[:depth] != content or t.noise:
-            if t.noise and t.kind == "open" and t.name in BLOCK:
-                blocks.append([])
-            continue
-        if t.kind == "text":
-            if (t.path, _SPACE.sub(" ", t.text).strip()) not in template.fixed:
-                blocks[-1].append(t.text)
-        elif t.name in BLOCK:
-            blocks.append([])
-    lines = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
-    return "\n".join(x for x in lines if x)
+    inside = [t for t in tokens if not content or t.path[:depth] == content]
+    return "\n".join(text for path, text in blocks(inside) if (path, text) not in template.fixed)
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
