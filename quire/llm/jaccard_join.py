@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, materialise, slices, table
+from quire.llm.common import discard, materialise, slices, table, worker_tables
 
 K = 5
 #: A link needs 100 * |A and B| >= PERCENT * |A or B|.
@@ -37,7 +37,7 @@ MIN_DIMS, MAX_DIMS = 128, 4096
 #: Signatures in one exchange block's partition; members up to which a region's pairs are listed; bytes of text a slice.
 PER_PART = 1_500_000
 SMALL = 4
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Ids of documents to compare are broadcast up to this number; beyond, the texts are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: A region's largest class is dealt out in blocks of so many members.
@@ -54,7 +54,6 @@ _R_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MUL = [_U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POWERS: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,15 +67,13 @@ def _times(k: int, i: int) -> np.uint64:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE + 1)
-        both = []
-        for r in (_R, _R_INV):
-            p = np.full(size, r, np.uint64)
+    own = worker_tables("jaccard")
+    if len(own.get("up", ())) < n:
+        for name, r in (("up", _R), ("down", _R_INV)):
+            p = np.full(max(n, SLICE + 1), r, np.uint64)
             p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS[:] = both
-    return _POWERS[0][:n], _POWERS[1][:n]
+            own[name] = np.multiply.accumulate(p)
+    return own["up"][:n], own["down"][:n]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:

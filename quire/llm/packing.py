@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, table
+from quire.llm.common import materialise, table, worker_tables
 
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's chunk table; it starts anew when full.
+#: Entries of a worker's tables of chunks and of letter runs; each starts anew when full.
 MAX_CHUNKS = 1_200_000
+MAX_RUNS = 1_200_000
 _CHUNK = re.compile(r"[^ \t\n\r]+")
 #: Chunks whose letter runs can be tokenized apart: no apostrophe, no combining mark, no letter outside the class below.
 _SIMPLE = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -48,13 +49,14 @@ class ChunkTable(dict):
     def run(self, text: str) -> bytes:
         got = self.runs.get(text)
         if got is None:
+            if len(self.runs) >= MAX_RUNS:
+                self.runs.clear()
             got = self.runs[text] = self.ids(text)
         return got
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MAX_CHUNKS:
             self.clear()
-            self.runs.clear()
         simple = _SIMPLE.fullmatch(chunk) and "<|" not in chunk
         got = self[chunk] = b"".join([self.run(r) for r in _RUN.findall(chunk.lower())]) if simple else self.ids(chunk)
         return got
@@ -79,15 +81,13 @@ class ChunkTokenizer:
         return b"".join(map(self.known.__getitem__, _CHUNK.findall(text) if odd else text.split()))
 
 
-_WORKER: dict[str, ChunkTokenizer] = {}
-
-
 def _tokenizer(name: str) -> ChunkTokenizer:
-    if name not in _WORKER:
+    own = worker_tables("packing")
+    if name not in own:
         import public_tokenizers
 
-        _WORKER[name] = ChunkTokenizer(name if "/" in name else public_tokenizers.path(name))
-    return _WORKER[name]
+        own[name] = ChunkTokenizer(name if "/" in name else public_tokenizers.path(name))
+    return own[name]
 
 
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import hashed_share, held_out, slices, table
+from quire.llm.common import hashed_share, held_out, slices, table, worker_tables
 
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 20_000
@@ -82,7 +82,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct = np.bincount((np.unique(key) >> np.uint64(32)).astype(np.int64), minlength=n)
     base = _K * _K + LONGEST
     out[:, base] = distinct / total
-    out[:, base + 1] = np.log1p(total) / 10
+    out[:, base + 1] = np.log1p(words.sum(1)) / 10
     out[:, base + 2] = np.log1p(sizes) / 10
     upper, lower = np.bincount(doc[c == 2], minlength=n), np.bincount(doc[c == 3], minlength=n)
     out[:, base + 3] = upper / np.maximum(upper + lower, 1)
@@ -94,6 +94,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def batch_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(from, to, features) over slices of a string column; nulls are empty."""
+    worker_tables("quality")
     texts = [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
     lengths = list(map(len, texts))
     for a, b in slices(lengths, SLICE):
