@@ -84,18 +84,24 @@ def unbalanced(c: Column) -> Column:
 
 
 def audit(source: Column, reply: Column, target: Column) -> Column:
-    """Issue codes in fixed order; an empty reply has that code alone."""
-    text, src = strip(reply), strip(source)
-    cjk = is_cjk_target(target)
-    ratio = F.length(text) / F.greatest(F.lit(1), F.length(src))
-    long16 = utf16_length(src) >= JUDGED
-    codes = F.array(
-        F.when(cjk & ~text.rlike(CJK_TEXT) & (latin_words(src) >= WORDS_JUDGED), F.lit("not-translated")),
-        F.when(cjk & long16 & (ratio < MIN_RATIO), F.lit("truncated")).when(cjk & long16 & (ratio > MAX_RATIO), F.lit("overlong")),
-        F.when(unbalanced(text).isNotNull(), F.lit("unbalanced")),
-        F.when((F.length(src) >= JUDGED) & src.rlike(SOURCE_TERMINAL) & ~text.rlike(TERMINAL), F.lit("unterminated")),
-    )
-    return F.when(F.length(text) == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(codes))
+    """Issue codes in fixed order; an empty reply has that code alone.
+
+    Both texts are trimmed once: the codes are computed from a bound pair, not from copies of the trimming expressions."""
+
+    def codes(pair: Column) -> Column:
+        text, src, cjk = pair["text"], pair["src"], pair["cjk"]
+        ratio = F.length(text) / F.greatest(F.lit(1), F.length(src))
+        long16 = utf16_length(src) >= JUDGED
+        found = F.array(
+            F.when(cjk & ~text.rlike(CJK_TEXT) & (latin_words(src) >= WORDS_JUDGED), F.lit("not-translated")),
+            F.when(cjk & long16 & (ratio < MIN_RATIO), F.lit("truncated")).when(cjk & long16 & (ratio > MAX_RATIO), F.lit("overlong")),
+            F.when(unbalanced(text).isNotNull(), F.lit("unbalanced")),
+            F.when((F.length(src) >= JUDGED) & src.rlike(SOURCE_TERMINAL) & ~text.rlike(TERMINAL), F.lit("unterminated")),
+        )
+        return F.when(F.length(text) == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(found))
+
+    pair = F.struct(strip(reply).alias("text"), strip(source).alias("src"), is_cjk_target(target).alias("cjk"))
+    return F.when(reply.isNotNull(), F.get(F.transform(F.array(pair), codes), F.lit(0)))
 
 
 def contains_term(term: Column, text: Column) -> Column:
