@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +68,14 @@ _WORKER_TABLES: dict[str, dict] = {}
 
 
 def worker_tables(name: str) -> dict:
-    """An operator's own tables in this Python worker. Workers outlive tasks, so tables of other operators are dropped here."""
-    for other in [k for k in _WORKER_TABLES if k != name]:
-        del _WORKER_TABLES[other]
-    return _WORKER_TABLES.setdefault(name, {})
+    """An operator's own tables in this Python worker. Workers outlive tasks, so tables of other operators are dropped here,
+    and what Arrow holds back for later goes to the system again."""
+    if name not in _WORKER_TABLES:
+        _WORKER_TABLES.clear()
+        _WORKER_TABLES[name] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _WORKER_TABLES[name]
 
 
 def slices(lengths, budget: int):
