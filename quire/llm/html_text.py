@@ -1,14 +1,14 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Pages of one host are read in chunks of consecutive pages. A token is a tag or a word together with the path of open
-tags above it. Tokens with the same occurrence vector over the chunk's pages form an equivalence class; the class that occurs once in
-every page, in the same order everywhere, is the template's skeleton. Its nested elements give slots between
-template tokens. Slots under navigation, forms, notices, adverts and the like are boilerplate; the
-innermost template element that holds most of the other slots' text is the content element. Each page's text is what
-stands between that element's tokens, without boilerplate elements and without text that the template repeats on every page.
+Pages of one host are read in chunks of consecutive pages. A token is a tag or a whole block of text together with the path of open
+tags above it; class names that few pages share don't count in a path. Tags with the same occurrence vector over the chunk's distinct pages form an
+equivalence class. A class that enough pages hold, in the same order on each of them, is valid, and the pages that hold it
+follow one template; so do all pages of the chunk. Text that nearly every page of such a group repeats is template text. Elements under
+navigation, forms, notices, adverts and the like are boilerplate. Each page's text is what is neither template text nor
+boilerplate. Where the page's own main or article elements hold most of that, what stands outside them goes.
 
 Hosts of any size are fine: pages are range-partitioned by (host, hash of the page), so a large host spreads over
-many partitions, and chunks hold CHUNK pages at most. Hosts with few pages share chunks with other small hosts.
+many partitions, and chunks hold twice CHUNK pages at most. Hosts with few pages share chunks with other small hosts.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from quire.llm.common import table
 from quire.llm.url_filter import host_of
 
 CHUNK = 128
-#: Hosts with fewer consecutive pages are pooled; pages that template text must be repeated on, at least; share of the text that makes a content element.
-POOLED, REPEATED, SHARE = 4, 8, 0.8
+#: Hosts with fewer consecutive pages are pooled; pages that template text must be repeated on, at least, and share of a group's pages; share of pages
+#: that makes a class name part of paths; share of blocks from which on repeated text means copies of a page, not a template; share of a page's text that its main and article elements must hold to be all of it.
+POOLED, REPEATED, REPEATED_SHARE, CLASS_SHARE, COPIES, SHARE = 4, 8, 0.9, 0.1, 2 / 3, 0.8
 
 # HTML element names and class words by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -118,71 +119,82 @@ def blocks(tokens: list[Token]) -> Iterator[tuple[tuple[str, ...], str]]:
 
 @dataclass
 class Template:
-    """Paths of the skeleton's elements in order, the content element's path, and texts that every page repeats in it."""
+    """Class words that count in paths (None: all), and the groups of pages that follow a valid class: a tag path of the class (None: every page), and the
+    texts that are template on the pages that hold it."""
 
-    skeleton: list[tuple[str, ...]]
-    content: tuple[str, ...] | None
-    fixed: set[tuple[tuple[str, ...], str]]
+    words: set[str] | None
+    groups: list[tuple[tuple[str, ...] | None, set[tuple[tuple[str, ...], str]]]]
+
+    def __post_init__(self) -> None:
+        self._plain: dict[tuple[str, ...], tuple[str, ...]] = {}
+
+    def plain(self, path: tuple[str, ...]) -> tuple[str, ...]:
+        """path without class words of few pages."""
+        if self.words is None:
+            return path
+        out = self._plain.get(path)
+        if out is None:
+            parts = [label.partition(".") for label in path]
+            out = self._plain[path] = tuple(" ".join([tag, *(w for w in names.split() if w in self.words)]) for tag, _, names in parts)
+        return out
 
 
 def deduce(pages: list[list[Token]]) -> Template:
-    """Equivalence classes of element and text tokens over the pages, nested into a template."""
-    vectors: dict[tuple, list[int]] = defaultdict(lambda: [0] * len(pages))
-    for i, tokens in enumerate(pages):
-        for t in tokens:
-            if t.kind == "open":
-                vectors[("open", t.path)][i] += 1
-        for path, text in blocks(tokens):
-            vectors[("text", path, text)][i] += 1
-    classes: dict[tuple[int, ...], set[tuple]] = defaultdict(set)
-    for token, v in vectors.items():
-        classes[tuple(v)].add(token)
-    once = classes.get((1,) * len(pages), set())
-    # a valid class has one order on every page
-    orders = [[t.path for t in tokens if t.kind == "open" and ("open", t.path) in once] for tokens in pages]
-    rank = [{p: k for k, p in enumerate(o)} for o in orders]
-    skeleton = [p for k, p in enumerate(orders[0]) if all(r.get(p) == k for r in rank)] if orders else []
-    inside = set(skeleton)
-    # slots: text outside noise, credited to every skeleton element around it
-    weight: Counter = Counter()
+    """Equivalence classes of tags over the distinct pages, the groups of pages that follow them, and each group's template text."""
+    pages = list({tuple(t.text for t in tokens if t.kind == "text"): tokens for tokens in pages}.values())
+    if len(pages) < REPEATED:
+        return Template(None, [])
+    on: Counter = Counter()
     for tokens in pages:
-        for t in tokens:
-            if t.kind == "text" and not t.noise:
-                n = len(t.text.strip())
-                for d in range(1, len(t.path) + 1):
-                    if t.path[:d] in inside:
-                        weight[t.path[:d]] += n
-    content: tuple[str, ...] | None = None
-    total = max(weight.values(), default=0)
-    while total:
-        depth = len(content) if content else 0
-        below = [p for p in skeleton if len(p) > depth and p[:depth] == (content or ()) and weight[p] >= SHARE * total]
-        below = [p for p in below if p != content]
-        if not below:
-            break
-        content = min(below, key=len)
-        total = max(total, 1) if content is None else weight[content]
-        if content[-1].split(".")[0] in ("article", "main"):
-            break
-    fixed = set()
-    if len(pages) >= REPEATED and len({tuple(t.text for t in tokens if t.kind == "text") for tokens in pages}) >= REPEATED:
-        fixed = {(t[1], t[2]) for v, ts in classes.items() if min(v) >= 1 for t in ts if t[0] == "text"}
-    return Template(skeleton, content, fixed)
+        on.update({w for label in {t.path[-1] for t in tokens if t.kind == "open"} for w in label.partition(".")[2].split()})
+    template = Template({w for w, n in on.items() if n >= max(2, CLASS_SHARE * len(pages))}, [])
+    # occurrence vectors, each as the pages of the token's occurrences
+    tags: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    texts: dict[tuple[tuple[str, ...], str], list[int]] = defaultdict(list)
+    orders: list[list[tuple[str, ...]]] = []
+    sizes = []
+    for i, tokens in enumerate(pages):
+        orders.append([template.plain(t.path) for t in tokens if t.kind == "open" and not t.noise])
+        for path in orders[-1]:
+            tags[path].append(i)
+        found = [(template.plain(path), text) for path, text in blocks(tokens)]
+        sizes.append(len(found))
+        for token in found:
+            texts[token].append(i)
+    classes: dict[tuple[int, ...], set[tuple[str, ...]]] = defaultdict(set)
+    for path, v in tags.items():
+        if len(v) >= REPEATED:
+            classes[tuple(v)].add(path)
+    repeated = [(token, v, set(v)) for token, v in texts.items() if len(v) >= REPEATED_SHARE * REPEATED]
+    groups = {frozenset(range(len(pages))): None}
+    for v, paths in classes.items():
+        holding = frozenset(v)
+        if len(holding) < REPEATED or holding in groups:
+            continue
+        # a valid class has one order on every page that holds it
+        if len(paths) == 1 or len({tuple(dict.fromkeys(p for p in orders[i] if p in paths)) for i in holding}) == 1:
+            groups[holding] = next(iter(paths))
+    for holding, path in groups.items():
+        total = sum(sizes[i] for i in holding)
+        some = [(token, v, own) for token, v, own in repeated if len(own & holding) >= REPEATED_SHARE * len(holding)]
+        if sum(sum(i in holding for i in v) for _, v, _ in some) > COPIES * total:
+            some = [x for x in some if path is None and len(x[2]) == len(pages)]
+        if some:
+            template.groups.append((path, {token for token, _, _ in some}))
+    return template
 
 
 def extract(tokens: list[Token], template: Template) -> str:
-    """The page's slots inside the content element, as blocks joined by line ends."""
-    content = template.content
-    if content is not None and not any(t.kind == "open" and t.path == content for t in tokens):
-        content = None
-    if content is None:
-        for tag in ("article", "main"):
-            content = next((t.path for t in tokens if t.kind == "open" and t.name == tag and not t.noise), None)
-            if content:
-                break
-    depth = len(content) if content else 0
-    inside = [t for t in tokens if not content or t.path[:depth] == content]
-    return "\n".join(text for path, text in blocks(inside) if (path, text) not in template.fixed)
+    """The page's blocks outside boilerplate and template text, joined by line ends; those of its main and article elements where they hold most of it."""
+    plain = template.plain
+    opens = {plain(t.path) for t in tokens if t.kind == "open"} if template.groups else set()
+    fixed = [texts for path, texts in template.groups if path is None or path in opens]
+    found = [(path, text) for path, text in blocks(tokens) if not any((plain(path), text) in texts for texts in fixed)]
+    total = sum(len(text) for _, text in found)
+    own = [any(label.partition(".")[0] in ("article", "main") for label in path) for path, _ in found]
+    if sum(len(text) for (_, text), k in zip(found, own, strict=True) if k) >= SHARE * total:
+        found = [x for x, k in zip(found, own, strict=True) if k]
+    return "\n".join(text for _, text in found)
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -200,9 +212,12 @@ def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
                 pool.clear()
 
     for row in rows:
-        if run and (row[0] != run[0][0] or len(run) >= CHUNK):
+        if run and row[0] != run[0][0]:
             yield from flush(run)
             run = []
+        elif len(run) >= 2 * CHUNK - 1:  # the rest of a host is never a small chunk of its own
+            yield run[:CHUNK]
+            run = run[CHUNK:]
         run.append(row)
     if run:
         yield from flush(run)
@@ -218,7 +233,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for chunk in _chunks(rows()):
         pages = [parse(r[3] or "") for r in chunk]
-        template = deduce([p for p in pages if p]) if any(pages) else Template([], None, set())
+        template = deduce([p for p in pages if p]) if any(pages) else Template(None, [])
         texts = [extract(p, template) for p in pages]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
         cols = ([r[1] for r in chunk], [r[2] for r in chunk], texts, [len(t) for t in texts])
@@ -229,7 +244,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html).
 
     Null or empty html gives an empty text; null urls are pages of one host named by the empty string; repeated rows are kept each; other columns
-    are ignored. Without a template (one page, mixed hosts) the first article or main element, else the page without boilerplate elements, is the text."""
+    are ignored. Without a template (few pages, mixed hosts) the main and article elements, else the page without boilerplate elements, are the text."""
     keyed = pages.select(host_of(F.col("url")).alias("host"), "page_id", "url", "html").withColumn("h", F.xxhash64("page_id", "url"))
     dealt = keyed.repartitionByRange("host", "h").sortWithinPartitions("host", "h")
     return dealt.select("host", "page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -269,3 +269,25 @@ def test_repeated_text_is_template():
     pages = [html_text.parse(page(k, f"<p>Body {k}</p><p>Subscribe to our letter today</p>")) for k in range(12)]
     t = html_text.deduce(pages)
     assert html_text.extract(pages[3], t) == "Title 3\nBody 3"
+
+
+def texts_of(pages):
+    parsed = [html_text.parse(p) for p in pages]
+    t = html_text.deduce(parsed)
+    return [html_text.extract(p, t) for p in parsed]
+
+
+def test_odd_pages_do_not_undo_the_template():
+    notice = "<p>Our shop is closed on Sundays</p>"
+    body = lambda k: f"<body class='page-{k}'><div>offer {k}</div><article class='post-{k}'><p>Text {k} of a page with enough words to hold most of it, twice over</p>{notice}</article></body>"
+    odd = "<body><article><p>one odd page</p></article><article><p>with two parts</p></article></body>"
+    got = texts_of([body(k) for k in range(40)] + [odd])
+    assert got[:40] == [f"Text {k} of a page with enough words to hold most of it, twice over" for k in range(40)]
+    assert got[40] == "one odd page\nwith two parts"
+    # two templates on one host: each page loses its own template's text
+    lists = [f"<body><div class='list'><ul><li>Item {k}</li></ul><b>Sorted by date</b></div></body>" for k in range(20)]
+    got = texts_of([body(k) for k in range(20)] + lists)
+    assert got[20:] == [f"Item {k}" for k in range(20)]
+    # copies of a page aren't a template
+    copies = [f"<body><div class='x'><p>a {k}</p>" + "".join(f"<p>paragraph {i}</p>" for i in range(9)) + "</div></body>" for k in range(12)]
+    assert all(len(t.split("\n")) == 10 for t in texts_of(copies + [body(k) for k in range(20)])[:12])
