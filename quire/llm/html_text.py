@@ -5,7 +5,7 @@ tags above it; class names that few pages share don't count in a path. Tags with
 equivalence class. A class that enough pages hold, in the same order on each of them, is valid, and the pages that hold it
 follow one template; so do all pages of the chunk. Text that nearly every page of such a group repeats is template text. Elements under
 navigation, forms, notices, adverts and the like are boilerplate. Each page's text is what is neither template text nor
-boilerplate. Where the page's own main or article elements hold most of that, what stands outside them goes.
+boilerplate. Where the page's own main or article elements hold most of that, what stands outside them goes, headings of the page excepted.
 
 Hosts of any size are fine: pages are range-partitioned by (host, hash of the page), so a large host spreads over
 many partitions, and chunks hold twice CHUNK pages at most. Hosts with few pages share chunks with other small hosts.
@@ -193,7 +193,7 @@ def extract(tokens: list[Token], template: Template) -> str:
     total = sum(len(text) for _, text in found)
     own = [any(label.partition(".")[0] in ("article", "main") for label in path) for path, _ in found]
     if sum(len(text) for (_, text), k in zip(found, own, strict=True) if k) >= SHARE * total:
-        found = [x for x, k in zip(found, own, strict=True) if k]
+        found = [x for x, k in zip(found, own, strict=True) if k or any(label.partition(".")[0] == "h1" for label in x[0])]
     return "\n".join(text for _, text in found)
 
 

@@ -291,3 +291,8 @@ def test_odd_pages_do_not_undo_the_template():
     # copies of a page aren't a template
     copies = [f"<body><div class='x'><p>a {k}</p>" + "".join(f"<p>paragraph {i}</p>" for i in range(9)) + "</div></body>" for k in range(12)]
     assert all(len(t.split("\n")) == 10 for t in texts_of(copies + [body(k) for k in range(20)])[:12])
+
+
+def test_nothing_beside_the_largest_element_is_lost():
+    pages = [f"<body><div class='post'><h1>Title {k}</h1><p class='lead'>Lead {k}</p><div class='text'><p>{f'long {k} ' * 40}</p><p>end {k}</p></div></div><nav>x</nav></body>" for k in range(12)]
+    assert texts_of(pages)[3] == "Title 3\nLead 3\n" + ("long 3 " * 40).strip() + "\nend 3"
