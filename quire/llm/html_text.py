@@ -40,6 +40,8 @@ DROPPED = set("head title nav header footer aside form script style noscript tem
 NOISE = re.compile(
     r"(?i)(^|[-_\s])(ads?|adverts?|advert\w*|banners?|sponsor\w*|promos?|promot\w*|comments?|comment-\w+|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|side|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|shar(e|es|ing)|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|tags|skip|copyright|legal|disclaimer)([-_\s]|$)"
 )
+#: Elements that hold the page; their class words say nothing about boilerplate.
+HOLDERS = {"html", "body", "main", "article"}
 CLOSES_P = BLOCK - {"br", "title", "body"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
@@ -59,12 +61,21 @@ class Token:
 def parse(page: str) -> list[Token]:
     """Tags and texts of a page with their paths; elements left open are closed where HTML closes them. Scripts, styles and comments are gone."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool]] = []  # name, label, inside noise
+    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = []  # name, path, inside noise, elements around that are noise by name
+    named: list[tuple[Token, tuple[int, ...]]] = []  # tokens inside elements that are noise by name
+    sizes: Counter = Counter()  # text of the page (0) and of those elements
+    elements = 0
+    marked: Counter = Counter()  # the same inside article and main
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            name, label, noise = stack.pop()
-            out.append(Token("close", name, tuple(s[1] for s in stack) + (label,), noise))
+            name, path, noise, around = stack.pop()
+            add(Token("close", name, path, noise), around)
+
+    def add(token: Token, around: tuple[int, ...]) -> None:
+        out.append(token)
+        if around:
+            named.append((token, around))
 
     for m in _TOKEN.finditer(page):
         t = m[0]
@@ -72,7 +83,14 @@ def parse(page: str) -> list[Token]:
             continue
         name = _NAME.match(t)
         if not name or t[-1] != ">":
-            out.append(Token("text", "", tuple(s[1] for s in stack), bool(stack) and stack[-1][2], t))
+            _, path, noise, around = stack[-1] if stack else ("", (), False, ())
+            add(Token("text", "", path, noise, t), around)
+            if not noise and (n := len(t.strip())):
+                for e in (0, *around):
+                    sizes[e] += n
+                if any(s[0] in ("article", "main") for s in stack):
+                    for e in (0, *around):
+                        marked[e] += n
             continue
         tag = name[1].lower()
         if t[1] == "/":
@@ -89,13 +107,20 @@ def parse(page: str) -> list[Token]:
             if at is not None and stack[at][0] == tag:
                 close(at)
         attrs = sorted((a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(t[len(tag) + 1 :]))
-        noise = bool(stack) and stack[-1][2] or tag in DROPPED or any(k != "role" and NOISE.search(v) or k == "role" and v.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form") for k, v in attrs)
-        label = tag + "".join(f".{v}" for k, v in attrs if k == "class")
-        path = tuple(s[1] for s in stack) + (label,)
-        out.append(Token("open", tag, path, noise))
+        _, path, noise, around = stack[-1] if stack else ("", (), False, ())
+        noise = noise or tag in DROPPED or any(k == "role" and v.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form") for k, v in attrs)
+        if tag not in HOLDERS and any(k != "role" and NOISE.search(v) for k, v in attrs):
+            elements += 1
+            around = (*around, elements)
+        path = (*path, tag + "".join(f".{v}" for k, v in attrs if k == "class"))
+        add(Token("open", tag, path, noise), around)
         if tag not in VOID and not t.endswith("/>"):
-            stack.append((tag, label, noise))
+            stack.append((tag, path, noise, around))
     close(0)
+    # the holder of most of the page's text is no boilerplate, whatever its name, unless an article or main stands beside it
+    held = {e for e in range(1, elements + 1) if 2 * sizes[e] > sizes[0] and (marked[e] or not marked[0])}
+    for token, around in named:
+        token.noise = token.noise or not held.issuperset(around)
     return out
 
 

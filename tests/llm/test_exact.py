@@ -296,3 +296,9 @@ def test_odd_pages_do_not_undo_the_template():
 def test_nothing_beside_the_largest_element_is_lost():
     pages = [f"<body><div class='post'><h1>Title {k}</h1><p class='lead'>Lead {k}</p><div class='text'><p>{f'long {k} ' * 40}</p><p>end {k}</p></div></div><nav>x</nav></body>" for k in range(12)]
     assert texts_of(pages)[3] == "Title 3\nLead 3\n" + ("long 3 " * 40).strip() + "\nend 3"
+
+
+@pytest.mark.parametrize("start, end", [("<html class='header-fixed'><body class='has-sidebar'><article class='post tag-social'>", "</article>"), ("<body><div id='main' class='with-comments'>", "</div>"), ("<main class='promo'>", "</main>")])
+def test_class_words_of_the_holder_are_no_boilerplate(start, end):
+    tokens = html_text.parse(f"{start}<h1>T</h1><p>Some text of the page</p><div class='social'>share it</div>{end}<div class='ad'>buy</div>")
+    assert [t for _, t in html_text.blocks(tokens)] == ["T", "Some text of the page"]
