@@ -5,13 +5,15 @@ report, quotation mark, other. Insult patterns are whole words and word stems (t
 frequencies among toxic and clean training rows differ by their log-odds; the short closed-class lists are fixed. The scope transducer
 reads classes along a clause and writes each insult's or threat's reading: plain, negated, reported or aimed at a target. The scorer
 adds the weights up by reading, clause by clause. A logistic layer over these sums, fitted on training rows, gives the
-score: how much a negated or reported insult counts is learned, not set.
+score: how much a negated or reported insult counts is learned, not set. A threat that has a target counts like a strong insult of the same
+reading, aimed threats like plain ones; features of its own let training rows say otherwise.
 
-Workers find lexicon hits by hashing the stems of all words of a batch at once; only clauses with a hit walk the transducers.
+Workers find lexicon hits by hashing the stems of all words of a batch at once; only clauses with a hit or a threat word walk the transducers.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,17 +38,21 @@ THRESHOLD = 0.5
 # Closed-class words in English, German, French and Spanish.
 THREATS = "kill hurt destroy beat stab shoot burn hunt murder töten umbringen schlagen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split()
 TARGETS = "you your yours they them their he she him her people everyone all du dich dir euch ihr sie tu toi vous ils elles usted ustedes tú te ellos ellas".split()
+#: Targets that stand before the verb as its object.
+OBJECTS = "dich dir euch te toi vous usted ustedes".split()
 NEGATIONS = "not no never none nobody neither isn't aren't wasn't don't doesn't nicht kein keine keiner nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split()
 REPORTS = "said says say wrote writes called calls quoted quotes reported claims claimed told sagte sagt schrieb nannte berichtete dit écrit appelé rapporté dijo dice escribió llamó".split()
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
-_CLASS = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws} | dict.fromkeys('"“”«»', QUOTE)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OBJECT = range(8)
+_CLASS = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (OBJECT, OBJECTS)) for w in ws} | dict.fromkeys('"“”«»', QUOTE)
 PLAIN, NEGATED, REPORTED, AIMED = range(4)
 #: Words that a negation reaches over, and a target.
 NEGATION_SPAN, TARGET_SPAN = 3, 4
-N_FEATURES = 9
+N_FEATURES = 13
+#: A threat's weight where no lexicon gives one; quantile of the lexicon's weights that is a threat's.
+THREAT_WEIGHT, THREAT_QUANTILE = 2.0, 0.9
 
 
 def word_keys(c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -106,6 +112,11 @@ class Grammar:
     w: np.ndarray
     b: float
 
+    @functools.cached_property
+    def threat(self) -> float:
+        """Weight of a threat with a target."""
+        return float(np.quantile(self.weights, THREAT_QUANTILE)) if len(self.weights) else THREAT_WEIGHT
+
     def filter(self) -> np.ndarray:
         bits = np.zeros(1 << 20, bool)
         bits[_slot(self.keys & ~TWICE)] = True
@@ -144,21 +155,32 @@ def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
 
-def lexicon(clause: str, offset: int, hits: dict[int, float]) -> Iterator[tuple[int, float]]:
-    """First transducer: words to (class, weight)."""
+def threats(text: str) -> list[int]:
+    """Positions of the threat words."""
+    low = text.lower()
+    some = [w for w in THREATS if w in low]
+    return [m.start() for m in re.finditer(rf"(?i)(?<![^\W_])(?:{'|'.join(some)})(?![^\W_])", text)] if some else []
+
+
+def lexicon(clause: str, offset: int, hits: dict[int, float], threat: float = THREAT_WEIGHT) -> Iterator[tuple[int, float]]:
+    """First transducer: words to (class, weight). A hit may stand inside a word, after an elided article."""
     for m in _TOKEN.finditer(clause):
-        weight = hits.get(offset + m.start(), 0.0)
+        weight = max((hits[p] for p in range(offset + m.start(), offset + m.end()) if p in hits), default=0.0)
+        word = m[0].lower()
         if weight:
             yield INSULT, weight
         else:
-            yield _CLASS.get(m[0].lower(), OTHER), 1.0
+            kind = _CLASS.get(word) or _CLASS.get(word.rpartition("'")[2], OTHER)
+            yield kind, threat if kind == THREAT else 1.0
 
 
 def scope(tags: Iterator[tuple[int, float]]) -> Iterator[tuple[int, int, float]]:
-    """Second transducer: (class, weight) to (class, reading, weight); the state is (words since a negation, reported, in quotation, words since a target)."""
-    negation, reported, quoted, target = NEGATION_SPAN + 1, False, False, TARGET_SPAN + 1
-    for kind, weight in tags:
-        negation, target = negation + 1, target + 1
+    """Second transducer: (class, weight) to (class, reading, weight); the state is (words since a negation, reported, in quotation, words since a target,
+    words since an object). A threat also looks at the words after it for its target; without one its weight is 0."""
+    negation, reported, quoted, target, object_ = NEGATION_SPAN + 1, False, False, TARGET_SPAN + 1, TARGET_SPAN + 1
+    tags = list(tags)
+    for i, (kind, weight) in enumerate(tags):
+        negation, target, object_ = negation + 1, target + 1, object_ + 1
         if kind == NEGATION:
             negation = 0
         elif kind == REPORT:
@@ -167,15 +189,21 @@ def scope(tags: Iterator[tuple[int, float]]) -> Iterator[tuple[int, int, float]]
             quoted = not quoted
         elif kind == TARGET:
             target = 0
+        elif kind == OBJECT:
+            target = object_ = 0
         elif kind in (INSULT, THREAT):
-            reading = REPORTED if reported or quoted else NEGATED if negation <= NEGATION_SPAN else AIMED if target <= TARGET_SPAN else PLAIN
+            aimed = target <= TARGET_SPAN
+            if kind == THREAT:
+                aimed = object_ <= TARGET_SPAN or any(k in (TARGET, OBJECT) for k, _ in tags[i + 1 : i + 1 + TARGET_SPAN])
+                weight = weight if aimed else 0.0
+            reading = REPORTED if reported or quoted else NEGATED if negation <= NEGATION_SPAN else AIMED if aimed else PLAIN
             yield kind, reading, weight
 
 
 def clauses(text: str, hits: dict[int, float]) -> Iterator[tuple[str, int]]:
-    """The clauses that hold a hit, with their offsets."""
+    """The clauses that hold a hit or a threat word, with their offsets."""
     done = -1
-    for p in sorted(hits):
+    for p in sorted({*hits, *threats(text)}):
         if p < done:
             continue
         start = max(text.rfind(ch, 0, p) for ch in ".!?;\n") + 1
@@ -184,23 +212,32 @@ def clauses(text: str, hits: dict[int, float]) -> Iterator[tuple[str, int]]:
         yield text[start:done], start
 
 
-def readings(text: str, hits: dict[int, float]) -> np.ndarray:
-    """Third transducer: sums by reading (4), the heaviest clause, threats beside insults, clauses, distinct weights' sum, any hit."""
+def readings(text: str, hits: dict[int, float], threat: float = THREAT_WEIGHT) -> np.ndarray:
+    """Third transducer: sums by reading (4), the heaviest clause, threats beside insults, clauses, distinct weights' sum, any hit, threats by reading (4).
+    Threats with a target are in the sums too, aimed ones as plain."""
     x = np.zeros(N_FEATURES)
+    weights = set(hits.values())
     for clause, offset in clauses(text, hits):
-        total, threat = 0.0, 0
-        for kind, reading, weight in scope(lexicon(clause, offset, hits)):
+        total, insults, beside, some = 0.0, 0.0, 0, False
+        for kind, reading, weight in scope(lexicon(clause, offset, hits, threat)):
+            plain = reading in (PLAIN, AIMED)
+            some |= weight > 0
+            total += weight if plain else 0.0
             if kind == INSULT:
                 x[reading] += weight
-                total += weight if reading in (PLAIN, AIMED) else 0.0
+                insults += weight if plain else 0.0
             else:
-                threat += reading in (PLAIN, AIMED)
+                x[9 + reading] += 1
+                x[PLAIN if reading == AIMED else reading] += weight
+                beside += plain
+                if weight:
+                    weights.add(weight)
         x[4] = max(x[4], total)
-        x[5] += threat if total else 0
-        x[6] += 1
-    x[7] = sum(set(hits.values()))
-    x[:4], x[5:8] = np.log1p(x[:4]), np.log1p(x[5:8])
-    x[8] = 1.0 if hits else 0.0
+        x[5] += beside if insults else 0
+        x[6] += some
+    x[7] = sum(weights)
+    x[:4], x[5:8], x[9:] = np.log1p(x[:4]), np.log1p(x[5:8]), np.log1p(x[9:])
+    x[8] = 1.0 if weights else 0.0
     return x
 
 
@@ -244,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         bits = g.filter()
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            x = [readings(s, h) for s, h in zip(texts, g.hits(texts, bits), strict=True)]
+            x = [readings(s, h, g.threat) for s, h in zip(texts, g.hits(texts, bits), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
     got = rows.mapInArrow(run, "y long, x binary").collect()  # max_labelled rows of N_FEATURES numbers
@@ -270,7 +307,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
                 some = batch.slice(k, 2000)
                 texts = [x or "" for x in some.column("text").to_pylist()]
                 found = grammar.hits(texts, bits)
-                x = np.array([readings(s, h) for s, h in zip(texts, found, strict=True)]).reshape(-1, N_FEATURES)
+                x = np.array([readings(s, h, grammar.threat) for s, h in zip(texts, found, strict=True)]).reshape(-1, N_FEATURES)
                 z = ((x - grammar.mean) / grammar.scale) @ grammar.w + grammar.b
                 spans = [[{"start": at, "text": c} for c, at in clauses(s, h)] for s, h in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -125,6 +125,24 @@ def test_readings():
         assert np.flatnonzero(x[:4]).tolist() == [at], text
 
 
+def test_threats_count_by_themselves(spark):
+    for text, at in (("I will stab you", toxicity.AIMED), ("I will not stab you", toxicity.NEGATED), ("he wrote I will stab you", toxicity.REPORTED), ("ich werde dich töten", toxicity.AIMED), ("the hunt went on", toxicity.PLAIN)):
+        x = toxicity.readings(text, {})
+        assert np.flatnonzero(x[9:]).tolist() == [at] and (x[8] > 0) == (text != "the hunt went on"), text
+    rng = random.Random(4)
+    rows = [(i, words(rng, "en", 20) + (" idiot." if i % 4 == 0 else ".")) for i in range(800)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    grammar = toxicity.train(docs, labels)
+    some = spark.createDataFrame([(1, "I will stab you tonight."), (2, "I will see you tonight."), (3, "the hunt went on"), (4, "c'est l'idiot")], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(some, grammar).collect()}
+    assert got[1] > 0.5 > got[2] and got[3] < 0.5 < got[4]
+
+
+def test_hits_inside_an_elided_word():
+    text = "c'est l'idiot"
+    assert toxicity.readings(text, {text.index("idiot"): 2.0})[toxicity.PLAIN] > 0
+
+
 def test_no_toxic_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     g = toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
