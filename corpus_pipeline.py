@@ -5,7 +5,7 @@ Models are trained on the raw tables' training rows, never on held-out ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard_join, language, mixing, packing, quality
@@ -28,19 +28,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs.select(COLUMNS), model).where(F.col("quality_score") >= quality.THRESHOLD).select(COLUMNS)
 
 
+def row_key(*columns: str) -> Column:
+    """A hash of the columns that tells null from any value."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked documents stays: the one with the smallest id; of repeated rows of that id, one."""
-    classes = jaccard_join.near_duplicates(docs)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each class of linked documents stays: the one with the smallest id, a null id only where no other is left; of rows that
+    repeat both id and text, one. Rows are told apart by id and text, so that null or repeated ids lose nothing."""
+    keyed = docs.select(*COLUMNS, row_key("doc_id", "text").alias("key"))
+    classes = jaccard_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    classes = classes.where("component_id IS NOT NULL").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ranked = classes.join(keyed.select("key", "doc_id"), "key").select("component_id", "key", F.struct(F.col("doc_id").isNull(), "doc_id", "key").alias("rank"))
+    least = ranked.groupBy("component_id").agg(F.min("rank")["key"].alias("kept"))
+    gone = ranked.join(least, "component_id").where("key <> kept").select("key").distinct()
+    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to CAP times; documents not taken go."""
+    """Each document as often as the mix takes it, up to CAP times; documents not taken go. Rows that repeat id, text and source are taken together."""
     taken = mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0")
-    times = taken.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("times"))
-    return docs.select(COLUMNS).join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    times = taken.select(row_key("doc_id", "source", "tie").alias("key"), "copies").groupBy("key").agg(F.sum("copies").cast("int").alias("times"))
+    keyed = docs.select(COLUMNS).withColumn("tie", F.xxhash64("doc_id", "text")).withColumn("key", row_key("doc_id", "source", "tie"))
+    return keyed.join(times, "key").dropDuplicates(["key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from quire.llm import jaccard_join, packing
+from quire.llm import jaccard_join, mixing, packing
 from quire.llm.common import materialise, shared_dir
 
 
@@ -62,6 +62,19 @@ def test_stages(spark, tables):
             assert sum(r["start"] == 0 for r in after) == len(before)
 
 
+def test_null_and_repeated_ids_lose_nothing(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (4, text(4)), (7, text(5)), (7, text(5)), (None, text(5)), (8, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", None if k % 2 else "a", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(None, text(1)), (None, text(2)), (5, text(3)), (4, text(4)), (7, text(5)), (8, text(6))], key=str)
+    for some in (kept, docs):
+        mixed = corpus_pipeline.mix_sources(spark, some, "").groupBy("doc_id", "text").count().collect()
+        taken = mixing.mix(some.select("doc_id", "text", "source")).groupBy("doc_id", "tie").sum("copies").where("sum(copies) > 0").collect()
+        assert sorted(r[2] for r in mixed) == sorted(r[2] for r in taken) and any(r["doc_id"] is None for r in mixed)
+
+
 def test_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
