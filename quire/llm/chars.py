@@ -1,4 +1,4 @@
-"""Texts of an Arrow batch as one array of small letter codes: lower-cased, 0 for anything that is no letter."""
+"""Texts of an Arrow batch as one array of letters: lower-cased code points, 0 for anything that is neither letter nor mark."""
 
 from __future__ import annotations
 
@@ -7,36 +7,41 @@ import unicodedata
 
 import numpy as np
 
-#: Codes: 1-26 a-z, then the other lower-case letters of these ranges in order, then hashed buckets for all other letters.
-V = 128
-_RANGES = ((0xDF, 0x100), (0x430, 0x452), (0x3AC, 0x3CF))
-LIMIT = 0x30000
+#: Code points from here on hold no letters.
+LIMIT = 0x32400
+#: Bits of a code point in an n-gram's key.
+BITS = 21
 
 
 @functools.cache
-def lut() -> np.ndarray:
-    known = {chr(97 + i): 1 + i for i in range(26)}
-    for a, b in _RANGES:
-        for cp in range(a, b):
-            if chr(cp).isalpha() and len(known) < V - 18:
-                known[chr(cp)] = len(known) + 1
-    first = len(known) + 1
-    out = np.zeros(LIMIT, np.uint8)
+def lut() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> lower-case letter or mark (0: neither), and whether it is a letter."""
+    low, letter = np.zeros(LIMIT, np.uint32), np.zeros(LIMIT, bool)
     for cp in range(LIMIT):
-        c = chr(cp)
-        if 0xD800 <= cp < 0xE000 or unicodedata.category(c)[0] not in "LM":
-            continue
-        low = c.lower()[:1]
-        out[cp] = known.get(low, first + (ord(low) >> 6) % (V - first))
-    return out
+        kind = unicodedata.category(chr(cp))[0]
+        if kind in "LM":
+            low[cp] = ord(chr(cp).lower()[0])
+            letter[cp] = kind == "L"
+    return low, letter
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, starts): each text preceded by one 0; starts[i] is where text i's leading 0 stands. A 0 ends the array."""
-    flat = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(("\n" + "\n\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if texts else np.zeros(0, np.int64)
-    return lut()[np.minimum(flat, LIMIT - 1)], starts
+    starts = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]]) if texts else np.zeros(0, np.int64)
+    return np.minimum(flat, LIMIT - 1), starts
+
+
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, starts): each text between two 0s; starts[i] is where text i's leading 0 stands."""
+    flat, starts = _points(texts)
+    return lut()[0][flat], starts
+
+
+def letters(texts: list[str]) -> np.ndarray:
+    """Letters in each text; marks alone are none."""
+    flat, starts = _points(texts)
+    return np.add.reduceat(lut()[1][flat].astype(np.int64), starts) if texts else np.zeros(0, np.int64)
 
 
 def squeezed(c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,9 @@
 """Trained operators on small corpora, by accuracy on rows they haven't seen, and on awkward inputs."""
 
+import math
 import random
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -37,17 +40,57 @@ def test_language(spark, tongues):
     assert all(0 <= r["lang_score"] <= 1 for r in out)
 
 
-def test_kneser_ney_is_a_distribution(tongues):
-    counts = {}
-    for lang in SYLLABLES:
-        c, _ = chars.squeezed(*chars.codes([t for _, t, x in tongues if x == lang]))
-        t = language._trigrams(np.concatenate([[0], c, [0]]).astype(np.uint8))
-        counts[lang] = np.unique(t.astype(np.int64), return_counts=True)
-    model = language.kneser_ney(counts)
-    for j in range(len(model.langs)):
-        for context in (model.keys[j][0] // chars.V, model.keys[j][-1] // chars.V):
-            p = np.exp(model.score(j, context * chars.V + np.arange(chars.V)).astype(float))
-            assert abs(p.sum() - 1) < 1e-3
+def padded(text):
+    """Letters of a text, lower-cased, runs of anything else as one 0, between two 0s in front and one behind."""
+    out = [0, 0]
+    for ch in text.lower():
+        c = ord(ch) if unicodedata.category(ch)[0] in "LM" else 0
+        if c or out[-1]:
+            out.append(c)
+    return out + [0] * (out[-1] != 0)
+
+
+def brute_kneser_ney(texts, d):
+    """P(w | u v) from definitions."""
+    tri = Counter(tuple(p[i : i + 3]) for p in map(padded, texts) for i in range(len(p) - 2) if p[i + 1] or p[i + 2])
+    bi = Counter((v, w) for _, v, w in tri)
+    uni = Counter(w for _, w in bi)
+
+    def p1(w):
+        seen = len(uni)
+        return (max(uni[w] - d, 0) + d * seen / (seen + 1)) / sum(uni.values()) if w in uni else None
+
+    def p2(v, w):
+        row = [n for (a, _), n in bi.items() if a == v]
+        return max(bi[v, w] - d, 0) / sum(row) + d * len(row) / sum(row) * p1(w) if row else p1(w)
+
+    def p3(u, v, w):
+        own = [n for (a, b, _), n in tri.items() if (a, b) == (u, v)]
+        return max(tri[u, v, w] - d, 0) / sum(own) + d * len(own) / sum(own) * p2(v, w) if own else p2(v, w)
+
+    return p3
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    texts = {"en": ["the thing in the ring", "then sing.", "a"], "he": ["שלום עולם טוב", "עולם שלום"], "ar": ["سلام عالم", "عالم سلام"]}
+    rows = [(i, t, x) for i, (x, t) in enumerate((x, t) for x, own in texts.items() for t in own)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    asked = [(x, t) for x, t in [("en", "the ring sings"), ("en", "thinng a"), ("he", "טוב שלום"), ("ar", "عالم")]]
+    got = language.entropies([t for _, t in asked], model.tables())
+    for (x, t), h in zip(asked, got, strict=True):
+        p, c = brute_kneser_ney(texts[x], language.DISCOUNT), padded(t)
+        want = -np.mean([math.log(p(*c[i : i + 3])) for i in range(len(c) - 2) if c[i + 1] or c[i + 2]])
+        assert abs(h[model.langs.index(x)] - want) < 1e-5, (x, t)
+        assert model.langs[h.argmin()] == x
+    alone = np.concatenate([language.entropies([t], model.tables()) for _, t in asked])
+    assert np.allclose(alone, got)
+
+
+def test_letters_of_every_plane_and_bare_marks(spark):
+    model = language.train(spark.createDataFrame([(1, "the ring", "en")], "doc_id long, text string, lang string"))
+    rows = [(1, "\u0301\u0302 12"), (2, chr(0x30001) * 3), (3, "i\u0301")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "und", 2: "en", 3: "en"}
 
 
 def test_language_without_training_rows(spark):
@@ -128,7 +171,7 @@ def test_readings():
 def test_threats_count_by_themselves(spark):
     for text, at in (("I will stab you", toxicity.AIMED), ("I will not stab you", toxicity.NEGATED), ("he wrote I will stab you", toxicity.REPORTED), ("ich werde dich töten", toxicity.AIMED), ("the hunt went on", toxicity.PLAIN)):
         x = toxicity.readings(text, {})
-        assert np.flatnonzero(x[9:]).tolist() == [at] and (x[8] > 0) == (text != "the hunt went on"), text
+        assert np.flatnonzero(x[9:]).tolist() == [at] and (x[8] > 0) == (at == toxicity.AIMED), text
     rng = random.Random(4)
     rows = [(i, words(rng, "en", 20) + (" idiot." if i % 4 == 0 else ".")) for i in range(800)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
@@ -143,6 +186,22 @@ def test_hits_inside_an_elided_word():
     assert toxicity.readings(text, {text.index("idiot"): 2.0})[toxicity.PLAIN] > 0
 
 
+def test_lexicon_knows_whole_words_and_scripts_apart():
+    begin, keys = toxicity.word_keys(chars.codes(["extraordinarily extraordinarilz ab שלום עולם x1idiot"])[0])
+    whole = keys[-1]
+    assert len(begin) == 7 and len(set(whole.tolist())) == 7 and keys[0][0] == keys[0][1] >= 0 and keys[0][2] == -1
+    text = "x1idiot came"
+    assert toxicity.readings(text, {text.index("idiot"): 2.0})[toxicity.PLAIN] > 0
+
+
+def test_words_with_the_same_letters_are_different_words():
+    import pyarrow as pa
+
+    base = quality._K * quality._K + quality.LONGEST
+    x = np.concatenate([x for _, _, x in quality.batch_features(pa.array(["xabcy xbacy xcaby", "xabcy xabcy xabcy"]))])
+    assert x[0, base] == 1 and abs(x[1, base] - 1 / 3) < 1e-6
+
+
 def test_no_toxic_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     g = toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
