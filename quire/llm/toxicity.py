@@ -2,7 +2,7 @@
 
 Three transducers are composed. The lexicon reads words and writes classes: insult with a weight, threat, target, negation,
 report, quotation mark, other. Insult patterns are whole words and word stems (the first 4 to 6 letters) whose document
-frequencies among toxic and clean training rows differ by their log-odds; the short closed-class lists are fixed. The scope transducer
+frequencies among toxic and clean training rows differ by their log-odds, near copies counted once; the short closed-class lists are fixed. The scope transducer
 reads classes along a clause and writes each insult's or threat's reading: plain, negated, reported or aimed at a target. The scorer
 adds the weights up by reading, clause by clause. A logistic layer over these sums, fitted on training rows, gives the
 score: how much a negated or reported insult counts is learned, not set. A threat that has a target counts like a strong insult of the same
@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chars
-from quire.llm.common import hashed_share, held_out, materialise, slices, table
+from quire.llm.common import hashed_share, held_out, materialise, slices, table, worker_tables
 
-#: Bound of the labelled rows that the lexicon and the scorer are fitted on; most patterns kept; least support and precision of one.
+#: Bound of the labelled rows that the lexicon and the scorer are fitted on; least support, precision and weight of a pattern; letters of a slice.
 MAX_LABELLED = 40_000
-MAX_PATTERNS = 20_000
 SUPPORT, PRECISION, LEAST_WEIGHT = 8, 0.3, 1.5
 STEMS = (4, 5, 6)
-FULL = 8
-SLICE = 2_000_000
+SLICE = 1_000_000
 THRESHOLD = 0.5
 
 # Closed-class words in English, German, French and Spanish.
@@ -55,19 +53,33 @@ N_FEATURES = 13
 THREAT_WEIGHT, THREAT_QUANTILE = 2.0, 0.9
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    own = worker_tables("toxicity")
+    if len(own.get("up", ())) < n:
+        for name, r in (("up", 0x9E3779B97F4A7C15), ("down", pow(0x9E3779B97F4A7C15, -1, 2**64))):
+            p = np.full(max(n, SLICE + 1), np.uint64(r))
+            p[0] = 1
+            own[name] = np.multiply.accumulate(p)
+    return own["up"][:n], own["down"][:n]
+
+
 def word_keys(c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Starts of all words in codes c, and for each pattern kind the words' keys (-1 where the kind doesn't fit)."""
+    """Starts of all words in letters c, and for each pattern kind (stems by length, whole words of any length) the words' keys, hashes
+    of 61 bits; -1 where a word is no longer than the stem."""
     edge = c != 0
     begin = np.flatnonzero(edge & ~np.concatenate([[False], edge[:-1]]))
     length = np.flatnonzero(edge & ~np.concatenate([edge[1:], [False]])) - begin + 1
-    padded = np.concatenate([c, np.zeros(FULL, np.uint8)])
-    key, keys = np.zeros(len(begin), np.int64), []
-    for i in range(FULL):
-        key = key << 7 | np.where(i < length, padded[begin + i], 0)
-        if i + 1 in STEMS:
-            keys.append(np.where(length > i + 1, key | np.int64(i + 1) << 57, -1))
-    keys.append(np.where(length <= FULL, key | np.int64(1) << 57, -1))
-    return begin, keys
+    up, down = _powers(len(c) + 1)
+    run = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(c.astype(np.uint64) * up[:-1], out=run[1:])
+
+    def key(size: np.ndarray | int, tag: int) -> np.ndarray:
+        h = (run[np.minimum(begin + size, len(c))] - run[begin]) * down[begin] + np.uint64(tag)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(32))) >> np.uint64(3)).astype(np.int64)
+
+    return begin, [*(np.where(length > n, key(n, n), -1) for n in STEMS), key(length, 0)]
 
 
 #: Marks the key of "the pattern occurs twice or more in the document".
@@ -213,16 +225,18 @@ def clauses(text: str, hits: dict[int, float]) -> Iterator[tuple[str, int]]:
 
 
 def readings(text: str, hits: dict[int, float], threat: float = THREAT_WEIGHT) -> np.ndarray:
-    """Third transducer: sums by reading (4), the heaviest clause, threats beside insults, clauses, distinct weights' sum, any hit, threats by reading (4).
-    Threats with a target are in the sums too, aimed ones as plain."""
+    """Third transducer: sums by reading (4), the heaviest clause, threats beside insults, clauses, the sum of distinct weights that are meant (neither negated
+    nor reported), whether there is one, threats by reading (4). Threats with a target are in the sums too, aimed ones as plain."""
     x = np.zeros(N_FEATURES)
-    weights = set(hits.values())
+    weights: set[float] = set()
     for clause, offset in clauses(text, hits):
         total, insults, beside, some = 0.0, 0.0, 0, False
         for kind, reading, weight in scope(lexicon(clause, offset, hits, threat)):
             plain = reading in (PLAIN, AIMED)
             some |= weight > 0
             total += weight if plain else 0.0
+            if plain and weight:
+                weights.add(weight)
             if kind == INSULT:
                 x[reading] += weight
                 insults += weight if plain else 0.0
@@ -230,8 +244,6 @@ def readings(text: str, hits: dict[int, float], threat: float = THREAT_WEIGHT) -
                 x[9 + reading] += 1
                 x[PLAIN if reading == AIMED else reading] += weight
                 beside += plain
-                if weight:
-                    weights.add(weight)
         x[4] = max(x[4], total)
         x[5] += beside if insults else 0
         x[6] += some
@@ -263,17 +275,18 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = marks.where(hashed_share(F.col("doc_id"), max_labelled, marks.count()))
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))  # max_labelled ids
-    # near copies teach a lexicon nothing new: one row of those that share their least hashed word triple
+    # near copies teach a lexicon nothing new: it counts one row, by a hash of its text, of those that share both the least and the largest hashed word triple
     words = F.split(F.lower("text"), r"\s+")
     triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("ws", i, 3)))
-    rows = rows.withColumn("ws", words).withColumn("family", F.array_min(triples)).drop("ws").dropDuplicates(["family", "toxic"]).drop("family")
+    rows = rows.withColumn("ws", words).withColumn("triples", triples).withColumn("family", F.struct(F.array_min("triples"), F.array_max("triples"), "toxic")).drop("ws", "triples")
+    rows = rows.withColumn("first", F.expr("row_number() OVER (PARTITION BY family ORDER BY xxhash64(text), text)") == 1).drop("family")
     rows = materialise(rows, "toxic-rows")
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    total = rows.agg(F.count("*").alias("all"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count_if("first").alias("n"), F.coalesce(F.sum(F.when(F.col("first"), F.col("toxic"))), F.lit(0)).alias("t")).first()
     t, clean = total["t"], total["n"] - total["t"]
-    both = rows.mapInArrow(_lexicon_counts, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where(F.col("t") >= SUPPORT)
+    both = rows.where("first").select("text", "toxic").mapInArrow(_lexicon_counts, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where(F.col("t") >= SUPPORT)
     odds = F.log((F.col("t") + 0.5) / F.lit(t + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(clean + 1.0))
-    kept = both.where(F.col("t") >= PRECISION * F.col("n")).select("key", odds.alias("w")).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "key").limit(MAX_PATTERNS).toPandas().sort_values("key")
-    g = Grammar(kept["key"].to_numpy(np.int64), kept["w"].to_numpy(float), np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), float(np.log((t + 0.5) / (clean + 0.5))))
+    kept = both.where(F.col("t") >= PRECISION * F.col("n")).select("key", odds.alias("w")).where(F.col("w") >= LEAST_WEIGHT).toPandas().sort_values("key")  # words of max_labelled rows, each in SUPPORT of them
+    g = Grammar(kept["key"].to_numpy(np.int64), kept["w"].to_numpy(float), np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), float(np.log((total["toxic"] + 0.5) / (total["all"] - total["toxic"] + 0.5))))
     if not t or not clean:
         return g
 
@@ -284,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             x = [readings(s, h, g.threat) for s, h in zip(texts, g.hits(texts, bits), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
-    got = rows.mapInArrow(run, "y long, x binary").collect()  # max_labelled rows of N_FEATURES numbers
+    got = rows.select("text", "toxic").mapInArrow(run, "y long, x binary").collect()  # max_labelled rows of N_FEATURES numbers
     g.mean, g.scale, g.w, g.b = fit_scorer(np.array([np.frombuffer(r["x"]) for r in got]), np.array([r["y"] for r in got], float))
     return g
 
