@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -30,8 +31,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir is unset: executors share no folder with the driver")
+    return (given or _own_dir()).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -64,6 +68,12 @@ def hashed_share(key: Column, bound: int, total: int, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < int(min(1.0, bound / max(total, 1)) * (1 << 40))
 
 
+def release() -> None:
+    """Give what is no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 _WORKER_TABLES: dict[str, dict] = {}
 
 
@@ -73,8 +83,7 @@ def worker_tables(name: str) -> dict:
     if name not in _WORKER_TABLES:
         _WORKER_TABLES.clear()
         _WORKER_TABLES[name] = {}
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        release()
     return _WORKER_TABLES[name]
 
 

@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Features are counts over the whole text: transitions between character classes (upper, lower, digit, blank, line end and
-kinds of punctuation), word-length histogram, repeated lines and repeated words. A logistic model minimises
+kinds of punctuation), word-length histogram, shares of distinct words and of words that repeat in a row, of upper case and of marks, and lengths. A logistic model minimises
 pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)): where the second part falls below zero the step
 goes against its gradient instead (Kiryo et al. 2017). Positives are training rows labelled good; unlabelled are rows of the web
 text. The class prior pi is estimated from a first classifier of positives against unlabelled rows: the lower end of
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import hashed_share, held_out, slices, table, worker_tables
+from quire.llm.common import hashed_share, held_out, release, slices, table, worker_tables
 
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 20_000
@@ -46,6 +46,17 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    own = worker_tables("quality")
+    if len(own.get("up", ())) < n:
+        for name, r in (("up", 0x9E3779B97F4A7C15), ("down", pow(0x9E3779B97F4A7C15, -1, 2**64))):
+            p = np.full(max(n, SLICE + 1), np.uint64(r))
+            p[0] = 1
+            own[name] = np.multiply.accumulate(p)
+    return own["up"][:n], own["down"][:n]
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows of N_FEATURES from the UTF-8 bytes of consecutive texts (text i is data[offsets[i]:offsets[i + 1]])."""
     n = len(offsets) - 1
@@ -72,13 +83,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = np.bincount(doc[start].astype(np.int64) * LONGEST + length, minlength=n * LONGEST).reshape(n, -1)
     total = np.maximum(words.sum(1), 1)
     out[:, _K * _K : _K * _K + LONGEST] = words / total[:, None]
-    # repeated words: a word's hash is the difference of a running polynomial sum's ends
+    # repeated words: a word's hash is the difference of a running polynomial sum's ends, shifted to the word's start
     with np.errstate(over="ignore"):
-        mix = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        run = np.cumsum(mix ^ (mix >> np.uint64(29)), dtype=np.uint64)
-        ends = np.flatnonzero(stop)
-        h = run[ends] - np.where(start > 0, run[np.maximum(start, 1) - 1], 0) + data[start].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + data[ends].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        key = (h ^ (h >> np.uint64(31))) & np.uint64((1 << 32) - 1) | doc[start].astype(np.uint64) << np.uint64(32)
+        up, down = _powers(len(data) + 1)
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
+        h = (run[np.flatnonzero(stop) + 1] - run[start]) * down[start]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = h >> np.uint64(32) | doc[start].astype(np.uint64) << np.uint64(32)
     distinct = np.bincount((np.unique(key) >> np.uint64(32)).astype(np.int64), minlength=n)
     base = _K * _K + LONGEST
     out[:, base] = distinct / total
@@ -86,9 +98,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, base + 2] = np.log1p(sizes) / 10
     upper, lower = np.bincount(doc[c == 2], minlength=n), np.bincount(doc[c == 3], minlength=n)
     out[:, base + 3] = upper / np.maximum(upper + lower, 1)
+    out[:, base + 4] = np.bincount(doc[c >= 8], minlength=n) / np.maximum(sizes, 1)
     twice = (key[1:] == key[:-1]) if len(key) > 1 else np.zeros(0, bool)
     out[:, base + 5] = np.bincount(doc[start[1:]][twice], minlength=n) / total
-    out[:, base + 4] = np.bincount(doc[c >= 8], minlength=n) / np.maximum(sizes, 1)
     return out
 
 
@@ -165,12 +177,17 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 
 def fit(positives: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """Model of float32 samples, which are standardised in place."""
     if not len(positives) or not len(unlabelled):
         n = N_FEATURES
         return Model(np.zeros(n), np.ones(n), np.zeros(n), 1.0, 0.5, 0.0)
-    mean, scale = unlabelled.mean(0).astype(float), unlabelled.std(0).astype(float)
+    mean, scale = unlabelled.mean(0, dtype=np.float64), unlabelled.std(0, dtype=np.float64)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positives, unlabelled))
+    for x in (positives, unlabelled):  # in place: float32 throughout
+        x -= mean.astype(np.float32)
+        x /= scale.astype(np.float32)
+        np.clip(x, -6, 6, out=x)
+    p, u = positives, unlabelled
     prior = class_prior(p, u)
     w, b = nn_pu(p, u, prior)
     return Model(mean, scale, w, b, prior, 0.0)
@@ -182,10 +199,16 @@ def _gathered(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, x in batch_features(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
 
-    got = rows.select("text").mapInArrow(run, "x binary").collect()  # the sample's bound x N_FEATURES x 4 bytes
-    return np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in got)), np.float32).reshape(-1, N_FEATURES)
+    got = rows.select("text").mapInArrow(run, "x binary").toArrow().column("x")  # the sample's bound x N_FEATURES x 4 bytes
+    x = np.empty((sum(len(b.as_buffer()) for b in got) // (4 * N_FEATURES), N_FEATURES), np.float32)
+    at = 0
+    for b in got:
+        own = np.frombuffer(b.as_buffer(), np.float32).reshape(-1, N_FEATURES)
+        x[at : at + len(own)] = own
+        at += len(own)
+    return x[np.lexsort(x[:, -8:].T)]  # rows in an order that reruns share
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -195,7 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     some = good.where(hashed_share(F.col("doc_id"), max_positive, good.count()))
     positives = _gathered(docs.join(F.broadcast(some), "doc_id", "left_semi"))  # max_positive ids
     unlabelled = _gathered(docs.where(hashed_share(F.col("doc_id"), max_unlabelled, docs.count(), 1)))
-    return fit(positives, unlabelled)
+    model = fit(positives, unlabelled)
+    del positives, unlabelled
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
