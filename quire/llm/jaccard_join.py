@@ -40,8 +40,12 @@ SMALL = 4
 SLICE = 1_000_000
 #: Ids of documents to compare are broadcast up to this number; beyond, the texts are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
-#: A region's largest class is dealt out in blocks of so many members.
+#: Members of a region that are compared in one task, at most twice as many.
 BLOCK = 20_000
+#: Documents from which on a signature is a region of rows, not part of a block; so many of one block count towards it.
+HOT, COMMON = 20_000, 20
+#: Members that are compared with their hub in one run; links that a task contracts at a time.
+MEMBERS, FOREST = 5_000, 1_000_000
 #: Regions a document is known by when two of them are asked for an earlier region in common.
 EARLIER = 16
 
@@ -353,24 +357,41 @@ def _links(u: np.ndarray, v: np.ndarray) -> bool:
     return len(np.intersect1d(u, v, assume_unique=True)) >= max(least, 1)
 
 
+SETS = "hub long, salt int, member boolean, node long, grams binary"
+
+
+def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text, jobs) -> a row for each job, with the whole set: for a hub one a salt, for a member one a hub. A doc_id may come with several
+    texts, so that only the text with the node's own set counts; one row a node and task."""
+    seen: set[int] = set()
+    names, kinds = ["hub", "salt", "member", "node", "grams"], [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            some = batch.slice(k, 500)
+            sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in some.column("text").to_pylist()])
+            rows = []
+            for node, u, jobs in zip(some.column("node").to_pylist(), sets, some.column("jobs").to_pylist(), strict=True):
+                if len(u) and node not in seen and set_id(u) == node:
+                    seen.add(node)
+                    packed = u.tobytes()
+                    rows += [(j["hub"], j["salt"], j["hub"] != node, node, packed) for j in jobs]
+            for at in range(0, len(rows), 500):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 500]], t) for i, t in enumerate(kinds)], names)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) -> the pairs that link, by their whole sets."""
-    last: dict[int, np.ndarray] = {}
+    """Rows in order of (hub, salt, member): every member that links with its hub, compared set by set; one hub is held at a time."""
+    hub, own = None, None
     for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        keep = np.zeros(len(a), bool)
-        ta, tb = batch.column("text_a"), batch.column("text_b")
-        for k in range(len(a)):
-            both = []
-            for node, text in ((int(a[k]), ta), (int(b[k]), tb)):
-                u = last.get(node)
-                if u is None:
-                    if len(last) > 200:
-                        last.clear()
-                    u = last[node] = shingle_sets([(text[k].as_py() or "").encode("utf-8", "surrogatepass")])[0]
-                both.append(u)
-            keep[k] = _links(*both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        grams = batch.column("grams")
+        a, b = [], []
+        for k, (at, member, node) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("member").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+            if not member:
+                hub, own = at, np.frombuffer(grams[k].as_py(), np.uint64)
+            elif hub == at and _links(own, np.frombuffer(grams[k].as_py(), np.uint64)):
+                a.append(at)
+                b.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,19 +404,6 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is the node's: a doc_id may come with several texts. One row a node and task."""
-    seen: set[int] = set()
-    for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            some = batch.slice(k, 1000)
-            sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in some.column("text").to_pylist()])
-            nodes = some.column("node").to_pylist()
-            keep = [len(u) > 0 and set_id(u) == n and n not in seen for u, n in zip(sets, nodes, strict=True)]
-            seen.update(n for n, ok in zip(nodes, keep, strict=True) if ok)
-            yield some.filter(pa.array(keep))
-
-
 @dataclass
 class Texts:
     """Where whole texts of nodes come from: the documents, and one document of each node."""
@@ -404,48 +412,145 @@ class Texts:
     nodes: DataFrame  # node, doc_id, vec
 
 
-def _texts_of(nodes: DataFrame, texts: Texts) -> DataFrame:
-    """node, text of the given nodes."""
-    ids = materialise(texts.nodes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of")), "nodes")
+def _verify(pairs: DataFrame, texts: Texts, name: str) -> DataFrame:
+    """The pairs (a, b) that link. Members travel once to each of their hubs a; hubs with many members are dealt over salts."""
+    pairs = materialise(pairs, f"{name}-pairs")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    hubs = salts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    members = pairs.join(salts, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    jobs = hubs.unionByName(members).groupBy("node").agg(F.collect_list(F.struct("hub", "salt")).alias("jobs"))
+    ids = materialise(texts.nodes.select("node", F.col("doc_id").alias("of")).join(jobs, "node"), f"{name}-jobs")
     docs = texts.docs.where("text IS NOT NULL")
-    small = ids.count() <= MAX_BROADCAST
-    some = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["of"]).select("node", "text")
-    return materialise(some.mapInArrow(_own_text, "node long, text string"), "texts", 500)
+    small = ids.agg(F.coalesce(F.sum(F.size("jobs") + 1), F.lit(0))).first()[0] <= MAX_BROADCAST
+    some = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["of"]).select("node", "text", "jobs")
+    sets = some.mapInArrow(_own_sets, SETS).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    return materialise(sets.mapInArrow(_linked, "a long, b long"), f"{name}-links", 500)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition to stars (node, least node of its tree), FOREST links at a time; what is connected stays connected."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    def stars() -> pa.RecordBatch:
+        rows = [(x, find(x)) for x in list(root)]
+        rows = [(x, r) for x, r in rows if x != r]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-
-def _verify(pairs: DataFrame, texts: Texts) -> DataFrame:
-    """The pairs (a, b) that link."""
-    pairs = materialise(pairs, "pairs")
-    some = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
-    with_b = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"), "links", 200)
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                root.setdefault(min(a, b), min(a, b))
+        if len(root) > FOREST:
+            yield stars()
+    if root:
+        yield stars()
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """node, label (the smallest node of its component) for every node of links(a, b).
+
+    Partitions first contract their own links; large-star and small-star rounds of joins then run until every node but a root has
+    one neighbour, its root. Rounds grow with the logarithm of the largest component."""
+    edges = links.where("a <> b").select("a", "b").mapInArrow(_forest, "u long, v long")
+    while True:
+        edges = materialise(edges, f"{name}-edges")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")), f"{name}-least")
+        open_ = least.agg(F.count(F.when((F.col("m") < F.col("u")) & (F.col("k") > 1), 1))).first()[0]
+        if not open_:
+            return least.select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+        # large star: larger neighbours go to the least of all; small star: smaller neighbours, and the node itself
+        up = both.join(least.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = down.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label (the smallest node of its component) for every node of links(a, b), by large-star and small-star rounds."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(edges, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise ValueError("components don't settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+def _relabel(label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Labels after more links: components of the labels that these links join, looked up for every node."""
+    met = _labelled(_labelled(links, label, "a"), label, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct()
+    top = components(met, name).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return materialise(label.join(top, "label", "left").select("node", F.coalesce("now", "label").alias("label")), f"{name}-labels")
 
 
 def _labelled(df: DataFrame, label: DataFrame, c: str) -> DataFrame:
     """df plus label_<c>, the class so far of the node in column c."""
-    own = label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    return df.join(own, c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    return df.join(label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c)
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of a block that many of its documents have: (part, key, n)."""
+    for batch in batches:
+        for part, keys in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            key, n = np.unique(np.frombuffer(keys, "<u4"), return_counts=True)
+            some = n >= COMMON
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), part), pa.int32()), pa.array(key[some].astype(np.int64)), pa.array(n[some])], ["part", "key", "n"])
+
+
+def _without(hot: dict[int, np.ndarray], inverse: bool):
+    """Blocks without the hot signatures; inverse: a row for each document of a hot signature (region, a, n) instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [[], [], [], [], []]
+            for r in batch.to_pylist():
+                keys, which = np.frombuffer(r["keys"], "<u4"), np.frombuffer(r["which"], "<u4")
+                out = np.isin(keys, hot.get(r["part"], np.zeros(0, np.uint32)))
+                if inverse:
+                    at = which[out]
+                    for c, v in zip(cols, (keys[out].astype(np.int64) << 31 | r["part"], np.frombuffer(r["nodes"], np.int64)[at], np.frombuffer(r["sizes"], np.int64)[at]), strict=False):
+                        c.append(v)
+                else:
+                    for c, v in zip(cols, (r["part"], keys[~out].tobytes(), which[~out].tobytes(), r["nodes"], r["sizes"]), strict=True):
+                        c.append(v)
+            if inverse:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols[:3]], ["region", "a", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "keys", "which", "nodes", "sizes"])
+
+    return run
+
+
+def _joined(blocks: DataFrame, parts: int) -> DataFrame:
+    """REGIONS of all signatures. A signature of more than HOT documents is a region of its own, joined with its pivot by a join of rows."""
+    common = blocks.mapInArrow(_common, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    found = common.select("part", "key").collect()  # all signatures / HOT at most
+    if not found:
+        return materialise(blocks.repartition(parts, "part").groupBy("part").applyInPandas(_regions, REGIONS), "regions")
+    hot = {p: np.array([r["key"] for r in found if r["part"] == p], np.uint32) for p in {r["part"] for r in found}}
+    rest = blocks.mapInArrow(_without(hot, False), blocks.schema)
+    usual = rest.repartition(parts, "part").groupBy("part").applyInPandas(_regions, REGIONS)
+    rows = blocks.mapInArrow(_without(hot, True), "region long, a long, n long")
+    pivot = rows.groupBy("region").agg(F.min(F.struct("a", "n")).alias("p"))
+    own = rows.join(F.broadcast(pivot), "region")
+    ok = (F.col("n") * 100 >= F.col("p.n") * PERCENT) & (F.col("p.n") * 100 >= F.col("n") * PERCENT) & (F.col("a") != F.col("p.a"))
+    pairs = own.where(ok).select(F.lit(-1).cast("long").alias("region"), F.col("p.a").alias("a"), F.col("a").alias("b"))
+    return materialise(usual.unionByName(rows.select("region", "a", F.col("a").alias("b"))).unionByName(pairs), "regions")
+
+
+def _dealt(mixed: DataFrame) -> DataFrame:
+    """Members of regions with several classes, each in every group (x <= y) of blocks where it meets members of other classes: the largest class of a region
+    and the others are dealt in blocks of BLOCK; two blocks of the largest class never meet."""
+    sizes = mixed.groupBy("region", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("all"))
+    major, minor = F.ceil(F.col("k") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("k")) / BLOCK).cast("int")
+    at = F.xxhash64("node")
+    own = F.when(F.col("label") == F.col("main"), F.pmod(at, F.col("major"))).otherwise(F.pmod(at, F.col("minor")) + F.col("major")).cast("int")
+    others = F.when(F.col("label") == F.col("main"), F.sequence(F.col("major"), F.col("major") + F.col("minor") - 1)).otherwise(F.sequence(F.lit(0), F.col("major") + F.col("minor") - 1))
+    several = main.where("k < all").select("region", "main", major.alias("major"), minor.alias("minor"))
+    blocks = mixed.join(several, "region").withColumn("own", own).withColumn("other", F.explode(others)).where("own <> other")
+    return blocks.select("region", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "label")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -461,7 +566,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = signed.where("part IS NOT NULL").select("part", "keys", "which", "nodes", "sizes")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("vec").alias("vec"))
     nodes = materialise(nodes, "classes")
-    found = materialise(blocks.repartition(parts, "part").groupBy("part").applyInPandas(_regions, REGIONS), "regions")
+    found = _joined(blocks, parts)
     discard(signed)
     pairs = found.where("region = -1").select("a", "b").distinct()
     vec = nodes.select("node", "vec")
@@ -469,29 +574,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialise(near.select("a", "b", "vec_a", "vec_b").mapInArrow(_near, "a long, b long"), "near")
     texts = Texts(docs, nodes)
     # first every document with its least pivot, then with the other pivots that are in another class still
-    done = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = _verify(done, texts)
-    label = materialise(components(links), "labels")
-    more = pairs.join(done, ["a", "b"], "left_anti")
-    more = materialise(_labelled(_labelled(more, label, "a"), label, "b").where("label_a <> label_b").select("a", "b"), "second")
-    links = materialise(links.unionByName(_verify(more, texts)), "links-2")
-    done = done.unionByName(more)
-    label = materialise(components(links), "labels-2")
-    # then regions that hold several classes: the largest class is dealt out in blocks, the other documents are copied to each block
-    members = found.where("region <> -1").select("region", "a").distinct()
-    mixed = materialise(_labelled(members, label, "a").select("region", F.col("a").alias("node"), F.col("label_a").alias("label")), "members")
+    done = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = components(_verify(done, texts, "first"), "first")
+    label = materialise(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    more = _labelled(_labelled(pairs.join(done, ["a", "b"], "left_anti"), label, "a"), label, "b").where("label_a <> label_b").select("a", "b")
+    label = _relabel(label, _verify(more, texts, "second"), "second")
+    # then regions that hold several classes; pairs of a small region have all been compared
+    members = found.where("region <> -1").select("region", F.col("a").alias("node")).distinct()
+    mixed = materialise(members.join(label, "node").select("region", "node", "label"), "members")
     several = mixed.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
     mixed = materialise(mixed.join(several, "region", "left_semi"), "mixed")
-    sizes = mixed.groupBy("region", "label").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k"))
-    blocks_of = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = mixed.join(main, "region").withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), blocks_of).cast("int"))).otherwise(F.sequence(F.lit(0), blocks_of - 1))))
     of = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("region")), 1, EARLIER).alias("regions")).join(vec, "node")
-    rest = dealt.join(of, "node").select("region", "block", "node", "label", "vec", "regions").groupBy("region", "block").applyInPandas(_region_pairs, "a long, b long")
-    rest = rest.distinct().join(done, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(_verify(rest, texts)), "links-3")
-    label = components(links)
-    named = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = _dealt(mixed).join(of, "node").select("region", "x", "y", "node", "label", "vec", "regions").groupBy("region", "x", "y").applyInPandas(_region_pairs, "a long, b long")
+    rest = rest.distinct().join(pairs, ["a", "b"], "left_anti")
+    label = _relabel(label, _verify(rest, texts, "third"), "third")
+    named = nodes.select("node", "doc_id").join(label, "node")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = materialise(named.join(least, "label").select("node", "component_id"), "components")
     return rows.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
