@@ -11,6 +11,9 @@ d * sqrt(chi2(CONFIDENCE)) with probability CONFIDENCE, so beyond that projected
 found. Scores are inner products of the original vectors in double precision.
 
 Equal vectors are indexed once, with their K + 1 smallest ids: no more can be among K nearest, as ties go to smaller ids.
+
+Queries are routed down the tree to the cells that the test lets them visit, and only those travel. Where data has no low-dimensional structure, as
+vectors spread evenly over a sphere, the test lets a query visit nearly every cell: a share of all pairs is verified then, whatever the tree.
 """
 
 from __future__ import annotations
@@ -30,11 +33,15 @@ K = 20
 M_DIMS = 8
 CONFIDENCE = 0.97
 SAMPLE = 20_000
-CELL = 4096
-LEAF = 256
-BLOCK = 1024
-MAX_CELLS = 1 << 20
+#: Vectors of a cell; of a leaf of the tree inside; queries of a block; cells; queries searched together; vectors projected together.
+CELL = 32_768
+LEAF = 512
+BLOCK = 32_768
+MAX_CELLS = 1 << 14
+QUERIES = 1_000
+SLICE = 2_000
 QUERY_EVERY = 20
+ROUTED = "cell long, query_id long, embedding array<double>, kth double"
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -109,10 +116,26 @@ class Tree:
                     stack.append((side, some))
         return out
 
-    def distance(self, x: np.ndarray) -> np.ndarray:
-        """Projected distance of each point to each cell's box."""
-        gap = np.maximum(np.maximum(self.lows[None] - x[:, None], x[:, None] - self.highs[None]), 0)
-        return np.sqrt((gap**2).sum(2))
+    def within(self, x: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(cell, rows, distances) of the points whose projected distance to the cell's box is within their reach, by descent: a side
+        that is too far for all points isn't entered."""
+        if not self.dims:
+            yield 0, np.arange(len(x)), np.zeros(len(x))
+            return
+        stack = [(0, np.arange(len(x)), np.zeros_like(x))]
+        while stack:
+            at, rows, gap = stack.pop()
+            d, off = self.dims[at], x[rows, self.dims[at]] - self.cuts[at]
+            for side, beyond in ((self.left[at], np.maximum(off, 0)), (self.right[at], np.maximum(-off, 0))):
+                far = gap.copy()
+                far[:, d] = np.maximum(far[:, d], beyond)
+                dist = np.sqrt((far**2).sum(1))
+                ok = dist <= reach[rows]
+                if ok.any():
+                    if side < 0:
+                        yield -side - 1, rows[ok], dist[ok]
+                    else:
+                        stack.append((side, rows[ok], far[ok]))
 
 
 @dataclass
@@ -138,64 +161,73 @@ def _array(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def _search(index: Index, q: np.ndarray, qid: np.ndarray, kth: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> list[tuple[int, int, float]]:
-    """Verify x for the queries in order of projected distance, block by block of a local kd-tree, while the test holds.
+def _search(index: Index, q: np.ndarray, kth: np.ndarray, x: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verify x for the queries in order of projected distance, leaf by leaf of a local kd-tree, while the test holds.
 
-    kth: the K-th best inner product known, -inf if none. Gives (query, id, score) at least as good as that."""
-    if not len(q) or not len(x):
-        return []
+    kth: an inner product that k + 1 vectors are known to reach, -inf if none. Gives (query, row, score): the k + 1 best rows of each query that reach it, ties to
+    the smaller first id."""
     pq, px = index.project(q, True), index.project(x, False)
     local = Tree.fit(px, max(1, len(px) // LEAF))
     cell = local.cell(px)
-    cells = [np.flatnonzero(cell == c) for c in range(len(local.lows))]
-    boxes = local.distance(pq)
-    norm2 = (q**2).sum(1)
-    kept: list[list[tuple[int, float]]] = [[] for _ in q]
-    kth = kth.copy()
-    order = boxes.argsort(1)
-    for step in range(len(cells)):
+    leaves = np.split(np.argsort(cell, kind="stable"), np.cumsum(np.bincount(cell, minlength=len(local.lows)))[:-1])
+    boxes = np.full((len(q), len(leaves)), np.inf)
+    for c, rows, dist in local.within(pq, np.full(len(q), np.inf)):
+        boxes[rows, c] = dist
+    norm2, kth = (q**2).sum(1), kth.copy()
+    order, nq, nx = boxes.argsort(1), (pq**2).sum(1), (px**2).sum(1)
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for step in range(len(leaves)):
         at = order[:, step]
         reach = index.reach(norm2, kth)
-        live = np.flatnonzero(~np.isfinite(kth) | (boxes[np.arange(len(q)), at] <= reach))
+        live = np.flatnonzero(boxes[np.arange(len(q)), at] <= reach)
+        if not len(live):
+            continue
+        new = [held]
         for c in np.unique(at[live]):
-            rows, some = cells[c], live[at[live] == c]
+            rows, some = leaves[c], live[at[live] == c]
             if not len(rows):
                 continue
             score = q[some] @ x[rows].T
-            near = np.sqrt(np.maximum((pq[some] ** 2).sum(1)[:, None] + (px[rows] ** 2).sum(1)[None] - 2 * pq[some] @ px[rows].T, 0))
-            good = (score >= kth[some][:, None]) & (~np.isfinite(kth[some])[:, None] | (near <= reach[some][:, None] + 1e-9))
-            for i, s in enumerate(some):
-                hits = np.flatnonzero(good[i])
-                if len(hits) > 4 * k:
-                    part = np.partition(score[i, hits], len(hits) - k - 1)[len(hits) - k - 1]  # the query itself may be among them
-                    hits = hits[score[i, hits] >= part]
-                new = [(int(v), float(score[i, h])) for h in hits for v in ids[rows[h]] if v != qid[s]]
-                if new:
-                    kept[s] = sorted(kept[s] + new, key=lambda z: (-z[1], z[0]))[:k]
-                    if len(kept[s]) == k:
-                        kth[s] = max(kth[s], kept[s][-1][1])
-    return [(int(qid[i]), v, s) for i, own in enumerate(kept) for v, s in own]
+            least = kth[some]
+            if len(rows) > k + 1:
+                least = np.maximum(least, np.partition(score, len(rows) - k - 1, axis=1)[:, len(rows) - k - 1])
+            near2 = nq[some][:, None] + nx[rows][None] - 2 * pq[some] @ px[rows].T
+            i, j = np.nonzero((score >= least[:, None]) & (near2 <= (reach[some] ** 2 + 1e-9)[:, None]))
+            new.append((some[i], rows[j], score[i, j]))
+        who, row, score = (np.concatenate(z) for z in zip(*new, strict=True))
+        by = np.lexsort((first[row], -score, who))
+        who, row, score = who[by], row[by], score[by]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        full = rank == k
+        kth[who[full]] = np.maximum(kth[who[full]], score[full])
+        held = (who[rank <= k], row[rank <= k], score[rank <= k])
+    return held
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, ids array<long>, score double"
 
 
 def _visit(index: Index, k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "ids": [], "score": np.zeros(0)})
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        right = right.sort_values("first")
-        x = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        ids = [np.sort(np.asarray(v, np.int64)) for v in right["ids"]]
-        q = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        got = _search(index, q, left["query_id"].to_numpy(), left["kth"].to_numpy(float), x, ids, k)
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return empty
+        x, first = np.stack(right["embedding"].to_numpy()), right["first"].to_numpy()
+        ids, out = right["ids"].to_numpy(), [empty]
+        for at in range(0, len(left), QUERIES):
+            some = left.iloc[at : at + QUERIES]
+            who, row, score = _search(index, np.stack(some["embedding"].to_numpy()), some["kth"].to_numpy(float), x, first, k)
+            out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[who], "ids": ids[row], "score": score}))
+        return pd.concat(out) if len(out) > 1 else empty
 
     return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    return found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k)
+    """query_id, vec_id, score, rank: the k best vectors of each query but itself; a vector that comes more than once counts by its best score."""
+    rows = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    once = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -223,52 +255,66 @@ def nearest(vectors: DataFrame, is_query, k: int = K, cell: int = CELL, confiden
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((stat["d"] + 1, M_DIMS))
     index = Index(directions, float(np.sqrt(stat["m"])), Tree.fit(np.zeros((1, M_DIMS)), 1), float(np.sqrt(chi2_quantile(confidence, M_DIMS))))
-    sample = np.array([r["embedding"] for r in rows.where(hashed_share(F.col("vec_id"), SAMPLE, stat["n"])).collect()], np.float64).reshape(-1, stat["d"])
     cells = min(MAX_CELLS, max(1, stat["n"] // cell))
-    index.tree = Tree.fit(index.project(sample[np.lexsort(sample.T)], False), cells)
+    sample = rows.where(hashed_share(F.col("vec_id"), max(SAMPLE, 16 * cells), stat["n"])).select("embedding")
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                p = index.project(_array(batch.column("embedding").slice(at, SLICE)), False)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in p], pa.binary())], ["p"])
+
+    got = sample.mapInArrow(projected, "p binary").toArrow().column("p")  # M_DIMS numbers for each row of the sample
+    points = np.array([np.frombuffer(b.as_py()) for b in got]).reshape(-1, M_DIMS)
+    index.tree = Tree.fit(points[np.lexsort(points.T)], cells)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = index.tree.cell(index.project(_array(batch.column("embedding")), False)) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("first"), batch.column("ids"), batch.column("embedding")], ["cell", "first", "ids", "embedding"])
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                own = index.tree.cell(index.project(_array(some.column("embedding")), False))
+                yield pa.RecordBatch.from_arrays([pa.array(own), some.column("first"), some.column("ids"), some.column("embedding")], ["cell", "first", "ids", "embedding"])
 
     indexed = materialise(classes.select("first", "ids", "embedding").mapInArrow(place, "cell long, first long, ids array<long>, embedding array<double>"), "cells")
     queries = rows.where(is_query).distinct().select(F.col("vec_id").alias("query_id"), "embedding")
-    n_queries = queries.count()
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = _array(batch.column("embedding"))
-            p = index.project(q, True) if batch.num_rows else np.zeros((0, M_DIMS))
-            near = index.tree.distance(p).argmin(1) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(near), batch.column("query_id"), batch.column("embedding"), pa.array(np.full(len(q), -np.inf))], ["cell", "query_id", "embedding", "kth"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The cells besides the first one that the stopping test lets a query visit."""
-        for batch in batches:
-            for k0 in range(0, batch.num_rows, 200):
-                part = batch.slice(k0, 200)
-                q, kth = _array(part.column("embedding")), part.column("kth").to_numpy(zero_copy_only=False)
-                d = index.tree.distance(index.project(q, True))
-                visit = ~np.isfinite(kth)[:, None] | (d <= index.reach((q**2).sum(1), kth)[:, None])
-                visit[np.arange(len(q)), d.argmin(1)] = False
-                i, c = np.nonzero(visit)
-                take = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(c), part.column("query_id").take(take), part.column("embedding").take(take), part.column("kth").take(take)], ["cell", "query_id", "embedding", "kth"])
-
-    routed = "cell long, query_id long, embedding array<double>, kth double"
-    blocks = max(1, -(-n_queries // BLOCK))
-    salted = lambda df: df.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    copies = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def visited(to: DataFrame) -> DataFrame:
-        return salted(to).groupBy("cell", "block").cogroup(copies.groupBy("cell", "block")).applyInPandas(_visit(index, k), FOUND)
-
-    first = materialise(_best(visited(queries.mapInArrow(home, routed)), k), "first")
-    bound = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    again = queries.join(bound, "query_id", "left").select("query_id", "embedding", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-    more = visited(again.mapInArrow(spread, routed))
-    return _best(first.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def visits(home: bool):
+        """The cells that a query visits: the one it would lie in, or the others that the stopping test lets it visit."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, QUERIES):
+                    some = batch.slice(at, QUERIES)
+                    q, kth = _array(some.column("embedding")), some.column("kth").to_numpy(zero_copy_only=False)
+                    p = index.project(q, True)
+                    own = index.tree.cell(p)
+                    reach = index.reach((q**2).sum(1), kth)
+                    for c, to in [(c, np.flatnonzero(own == c)) for c in np.unique(own)] if home else ((c, i[own[i] != c]) for c, i, _ in index.tree.within(p, reach)):
+                        take = pa.array(to)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), c)), *(some.column(name).take(take) for name in ("query_id", "embedding", "kth"))], ["cell", "query_id", "embedding", "kth"])
+
+        return run
+
+    # a cell is dealt in slots of `cell` vectors, its queries in blocks of BLOCK; only cells that are larger or asked more often have several
+    sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # MAX_CELLS rows
+    slots = spark.createDataFrame([(c, -(-n // (2 * cell))) for c, n in sizes.items()], "cell long, slots int")
+
+    def visited(to: DataFrame, name: str) -> DataFrame:
+        to = materialise(to, name)
+        asked = to.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MAX_CELLS rows
+        dealt = F.broadcast(slots.join(asked, "cell"))
+        left = to.join(dealt, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        right = indexed.join(dealt, "cell").withColumn("slot", F.pmod(F.xxhash64("first"), F.col("slots")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        left, right = left.select("cell", "slot", "block", "query_id", "embedding", "kth"), right.select("cell", "slot", "block", "first", "ids", "embedding")
+        return left.groupBy("cell", "slot", "block").cogroup(right.groupBy("cell", "slot", "block")).applyInPandas(_visit(index, k), FOUND)
+
+    infinite = F.lit(float("-inf"))
+    first = materialise(visited(queries.withColumn("kth", infinite).mapInArrow(visits(True), ROUTED), "home"), "first")
+    # a query's k + 1 best vectors of its own cell, itself perhaps among them, bound the k-th best of all
+    bound = first.groupBy("query_id").agg(F.array_sort(F.collect_list("score"), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)).alias("s")).where(F.size("s") > k)
+    again = queries.join(bound.select("query_id", F.col("s")[k].alias("kth")), "query_id", "left").select("query_id", "embedding", F.coalesce("kth", infinite).alias("kth"))
+    more = visited(again.mapInArrow(visits(False), ROUTED), "away")
+    return _best(first.unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

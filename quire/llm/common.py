@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import re
@@ -72,6 +73,10 @@ def release() -> None:
     """Give what is no longer used back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own habits
+        pass
 
 
 _WORKER_TABLES: dict[str, dict] = {}

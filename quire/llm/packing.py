@@ -27,38 +27,31 @@ from quire.llm.common import materialise, table, worker_tables
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's tables of chunks and of letter runs; each starts anew when full.
-MAX_CHUNKS = 1_200_000
-MAX_RUNS = 1_200_000
+#: Bytes of each half of a worker's two tables, of chunks and of letter runs; bytes an entry takes besides its contents.
+MAX_BYTES, ENTRY = 48_000_000, 200
 _CHUNK = re.compile(r"[^ \t\n\r]+")
 #: Chunks whose letter runs can be tokenized apart: no apostrophe, no combining mark, no letter outside the class below.
 _SIMPLE = re.compile(r"[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+")
 _RUN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+|[^a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 
-class ChunkTable(dict):
-    """chunk -> its ids as bytes; a chunk not seen before is tokenized from its lower-cased letter runs, which have a table too."""
+class Recent(dict):
+    """A table of what was looked up lately: when it has taken in MAX_BYTES it becomes the older half, and what is asked for again moves over."""
 
-    def __init__(self, tokenizer, kind: str):
+    def __init__(self, make):
         super().__init__()
-        self.tokenizer, self.kind, self.runs = tokenizer, kind, {}
+        self.make, self.older, self.size = make, {}, 0
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def run(self, text: str) -> bytes:
-        got = self.runs.get(text)
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
         if got is None:
-            if len(self.runs) >= MAX_RUNS:
-                self.runs.clear()
-            got = self.runs[text] = self.ids(text)
-        return got
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MAX_CHUNKS:
+            got = self.make(key)
+        self.size += len(key) + len(got) + ENTRY
+        if self.size > MAX_BYTES:
+            self.older = dict(self)
             self.clear()
-        simple = _SIMPLE.fullmatch(chunk) and "<|" not in chunk
-        got = self[chunk] = b"".join([self.run(r) for r in _RUN.findall(chunk.lower())]) if simple else self.ids(chunk)
+            self.size = len(key) + len(got) + ENTRY
+        self[key] = got
         return got
 
 
@@ -72,8 +65,17 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if tokenizer.get_vocab_size() <= 65536 else 4
-        self.known = ChunkTable(tokenizer, f"<u{self.width}")
+        self.tokenizer, self.width = tokenizer, 2 if tokenizer.get_vocab_size() <= 65536 else 4
+        self.runs = Recent(self._ids)
+        self.known = Recent(self._chunk)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A simple chunk's ids are those of its lower-cased letter runs and of what stands between them."""
+        simple = _SIMPLE.fullmatch(chunk) and "<|" not in chunk
+        return b"".join([self.runs[r] for r in _RUN.findall(chunk.lower())]) if simple else self._ids(chunk)
 
     def encode(self, text: str) -> bytes:
         # str.split also cuts at these four control characters, which the vocabulary's pattern takes for symbols
