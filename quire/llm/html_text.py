@@ -1,14 +1,14 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Pages of one host are read in chunks of consecutive pages. A token is a tag or a whole block of text together with the path of open
-tags above it; class names that few pages share don't count in a path. Tags with the same occurrence vector over the chunk's distinct pages form an
-equivalence class. A class that enough pages hold, in the same order on each of them, is valid, and the pages that hold it
-follow one template; so do all pages of the chunk. Text that nearly every page of such a group repeats is template text. Elements under
-navigation, forms, notices, adverts and the like are boilerplate. Each page's text is what is neither template text nor
-boilerplate. Where the page's own main or article elements hold most of that, what stands outside them goes, headings of the page excepted.
-
-Hosts of any size are fine: pages are range-partitioned by (host, hash of the page), so a large host spreads over
-many partitions, and chunks hold twice CHUNK pages at most. Hosts with few pages share chunks with other small hosts.
+Each page is parsed once into tokens: its tags (path of tag names and the element's own class words) and its blocks of text (path and
+text). Over the different pages of a host, all of them and nothing else, a token's occurrence vector is how often it stands on each page. Spark aggregates it to
+a fingerprint, so that hosts of any size and any partitioning give the same classes: tokens of one host with equal vectors are an equivalence class. A
+class is valid if SUPPORT pages and SHARE_OF_HOST of the host's pages hold it and a tag is among its tokens. Valid classes nest: a text belongs to
+the class of the element that holds it, and it is template text if it has that element's pages: all of them (its vector is that of a valid class) or, under an element of
+most of the host's pages, nearly all. A class whose texts make up most of its pages' text is a group of copies of a page, no template.
+
+Elements under navigation, forms, notices, adverts and the like are boilerplate. What is neither template text nor boilerplate are the slots, a page's
+text. Where the page's own main or article elements hold most of that, what stands outside them goes, headings of the page excepted.
 """
 
 from __future__ import annotations
@@ -17,19 +17,21 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import materialise, table
 from quire.llm.url_filter import host_of
 
-CHUNK = 128
-#: Hosts with fewer consecutive pages are pooled; pages that template text must be repeated on, at least, and share of a group's pages; share of pages
-#: that makes a class name part of paths; share of blocks from which on repeated text means copies of a page, not a template; share of a page's text that its main and article elements must hold to be all of it.
-POOLED, REPEATED, REPEATED_SHARE, CLASS_SHARE, COPIES, SHARE = 4, 8, 0.9, 0.1, 2 / 3, 0.8
+#: Pages that a valid class must be on, at least, and share of its host's pages; share of an element's or a host's pages that hold a template text; share of
+#: a class's pages' blocks from which on its texts are copies; share of a page's text that its main and article elements must hold to be all of it.
+SUPPORT, SHARE_OF_HOST, NEARLY, COPIES, SHARE = 8, 0.01, 0.9, 2 / 3, 0.8
+#: Template texts of all hosts up to which they are broadcast; pages of a batch.
+MAX_BROADCAST = 200_000
+PAGES = 200
 
 # HTML element names and class words by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +42,7 @@ DROPPED = set("head title nav header footer aside form script style noscript tem
 NOISE = re.compile(
     r"(?i)(^|[-_\s])(ads?|adverts?|advert\w*|banners?|sponsor\w*|promos?|promot\w*|comments?|comment-\w+|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|side|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|shar(e|es|ing)|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|tags|skip|copyright|legal|disclaimer)([-_\s]|$)"
 )
+ROLES = set("navigation banner contentinfo complementary search alert dialog form".split())
 #: Elements that hold the page; their class words say nothing about boilerplate.
 HOLDERS = {"html", "body", "main", "article"}
 CLOSES_P = BLOCK - {"br", "title", "body"}
@@ -49,230 +52,158 @@ _ATTR = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
-class Token:
-    kind: str  # open, close, text
-    name: str
-    path: tuple[str, ...]
-    noise: bool
-    text: str = ""
+Block = tuple[int, int, bool, bool, str]  # token, token of the element that holds it, inside main or article, inside h1, text
+LISTS = ("ul", "ol", "dl", "table")
+
+
+def _hash(text: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-def parse(page: str) -> list[Token]:
-    """Tags and texts of a page with their paths; elements left open are closed where HTML closes them. Scripts, styles and comments are gone."""
-    out: list[Token] = []
-    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = []  # name, path, inside noise, elements around that are noise by name
-    named: list[tuple[Token, tuple[int, ...]]] = []  # tokens inside elements that are noise by name
-    sizes: Counter = Counter()  # text of the page (0) and of those elements
-    elements = 0
-    marked: Counter = Counter()  # the same inside article and main
+
+def parse(page: str) -> tuple[list[Block], Counter]:
+    """The blocks of text outside boilerplate elements, in page order, and the tokens of its tags with their numbers. Elements left open are closed where
+    HTML closes them. Scripts, styles and comments are gone. Time grows with the length of the page, whatever its depth."""
+    stack: list[tuple[str, int, bool, int, bool, bool, int]] = []  # name, path, boilerplate, innermost element that is noise by name, in main, in h1, token
+    root = ("", 0, False, 0, False, False, 0)
+    at: dict[str, list[int]] = defaultdict(list)  # where elements of a name are open
+    events: list[tuple | None] = []  # texts; None is a block's border
+    tags: list[tuple[int, int]] = []  # token, innermost element that is noise by name
+    above, sizes, marked = [0], [0], [0]  # of elements that are noise by name (0: the page): the one around, their text, and what of it is in main or article
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            name, path, noise, around = stack.pop()
-            add(Token("close", name, path, noise), around)
-
-    def add(token: Token, around: tuple[int, ...]) -> None:
-        out.append(token)
-        if around:
-            named.append((token, around))
+            name = stack.pop()[0]
+            at[name].pop()
+            if name in BLOCK:
+                events.append(None)
 
     for m in _TOKEN.finditer(page):
         t = m[0]
         if m[1] or t.startswith("<!") or t.startswith("<?"):
             continue
-        name = _NAME.match(t)
-        if not name or t[-1] != ">":
-            _, path, noise, around = stack[-1] if stack else ("", (), False, ())
-            add(Token("text", "", path, noise, t), around)
-            if not noise and (n := len(t.strip())):
-                for e in (0, *around):
-                    sizes[e] += n
-                if any(s[0] in ("article", "main") for s in stack):
-                    for e in (0, *around):
-                        marked[e] += n
+        found = _NAME.match(t)
+        if not found or t[-1] != ">":
+            _, path, noise, named, main, h1, token = stack[-1] if stack else root
+            if not noise:
+                events.append((t, path, token, named, main, h1))
+                n = len(t.strip())
+                sizes[named] += n
+                marked[named] += n if main else 0
             continue
-        tag = name[1].lower()
+        tag = found[1].lower()
         if t[1] == "/":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                close(at)
+            if at[tag]:
+                close(at[tag][-1])
+            elif tag in BLOCK:
+                events.append(None)
             continue
-        if tag in CLOSES_P:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if at is not None:
-                close(at)
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, "ul", "ol", "dl", "table")), None)
-            if at is not None and stack[at][0] == tag:
-                close(at)
-        attrs = sorted((a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(t[len(tag) + 1 :]))
-        _, path, noise, around = stack[-1] if stack else ("", (), False, ())
-        noise = noise or tag in DROPPED or any(k == "role" and v.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form") for k, v in attrs)
+        if tag in CLOSES_P and at["p"]:
+            close(at["p"][-1])
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and at[tag] and all(not at[x] or at[x][-1] < at[tag][-1] for x in LISTS):
+            close(at[tag][-1])
+        attrs = [(a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(t[len(tag) + 1 :])]
+        _, path, noise, named, main, h1, _ = stack[-1] if stack else root
+        noise = noise or tag in DROPPED or any(k == "role" and v.lower() in ROLES for k, v in attrs)
         if tag not in HOLDERS and any(k != "role" and NOISE.search(v) for k, v in attrs):
-            elements += 1
-            around = (*around, elements)
-        path = (*path, tag + "".join(f".{v}" for k, v in attrs if k == "class"))
-        add(Token("open", tag, path, noise), around)
+            above.append(named)
+            sizes.append(0)
+            marked.append(0)
+            named = len(above) - 1
+        path = _hash(tag, path)
+        words = sorted({w for k, v in attrs if k == "class" for w in v.split()})
+        token = _hash(" ".join(words), path)
+        if not noise:
+            tags.append((token, named))
+        if tag in BLOCK:
+            events.append(None)
         if tag not in VOID and not t.endswith("/>"):
-            stack.append((tag, path, noise, around))
-    close(0)
+            at[tag].append(len(stack))
+            stack.append((tag, path, noise, named, main or tag in ("article", "main"), h1 or tag == "h1", token))
     # the holder of most of the page's text is no boilerplate, whatever its name, unless an article or main stands beside it
-    held = {e for e in range(1, elements + 1) if 2 * sizes[e] > sizes[0] and (marked[e] or not marked[0])}
-    for token, around in named:
-        token.noise = token.noise or not held.issuperset(around)
-    return out
-
-
-def blocks(tokens: list[Token]) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path of its first text, text) of each block outside boilerplate elements, in page order."""
-    path: tuple[str, ...] = ()
+    for e in range(len(above) - 1, 0, -1):
+        sizes[above[e]] += sizes[e]
+        marked[above[e]] += marked[e]
+    bad = [False]
+    for e in range(1, len(above)):
+        bad.append(bad[above[e]] or not (2 * sizes[e] > sizes[0] and (marked[e] or not marked[0])))
+    out: list[Block] = []
     held: list[str] = []
-    for t in tokens:
-        if t.kind == "text":
-            if not t.noise:
-                if not held:
-                    path = t.path
-                held.append(t.text)
-        elif t.name in BLOCK and held:
-            if text := _SPACE.sub(" ", html.unescape("".join(held))).strip():
-                yield path, text
+    first: tuple = ()
+    for event in [*events, None]:
+        if event is None:
+            if held and (text := _SPACE.sub(" ", html.unescape("".join(held))).strip()):
+                out.append((_signed(_hash(text, first[1])), _signed(first[2]), first[4], first[5], text))
             held = []
-    if held and (text := _SPACE.sub(" ", html.unescape("".join(held))).strip()):
-        yield path, text
-
-
-@dataclass
-class Template:
-    """Class words that count in paths (None: all), and the groups of pages that follow a valid class: a tag path of the class (None: every page), and the
-    texts that are template on the pages that hold it."""
-
-    words: set[str] | None
-    groups: list[tuple[tuple[str, ...] | None, set[tuple[tuple[str, ...], str]]]]
-
-    def __post_init__(self) -> None:
-        self._plain: dict[tuple[str, ...], tuple[str, ...]] = {}
-
-    def plain(self, path: tuple[str, ...]) -> tuple[str, ...]:
-        """path without class words of few pages."""
-        if self.words is None:
-            return path
-        out = self._plain.get(path)
-        if out is None:
-            parts = [label.partition(".") for label in path]
-            out = self._plain[path] = tuple(" ".join([tag, *(w for w in names.split() if w in self.words)]) for tag, _, names in parts)
-        return out
-
-
-def deduce(pages: list[list[Token]]) -> Template:
-    """Equivalence classes of tags over the distinct pages, the groups of pages that follow them, and each group's template text."""
-    pages = list({tuple(t.text for t in tokens if t.kind == "text"): tokens for tokens in pages}.values())
-    if len(pages) < REPEATED:
-        return Template(None, [])
-    on: Counter = Counter()
-    for tokens in pages:
-        on.update({w for label in {t.path[-1] for t in tokens if t.kind == "open"} for w in label.partition(".")[2].split()})
-    template = Template({w for w, n in on.items() if n >= max(2, CLASS_SHARE * len(pages))}, [])
-    # occurrence vectors, each as the pages of the token's occurrences
-    tags: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    texts: dict[tuple[tuple[str, ...], str], list[int]] = defaultdict(list)
-    orders: list[list[tuple[str, ...]]] = []
-    sizes = []
-    for i, tokens in enumerate(pages):
-        orders.append([template.plain(t.path) for t in tokens if t.kind == "open" and not t.noise])
-        for path in orders[-1]:
-            tags[path].append(i)
-        found = [(template.plain(path), text) for path, text in blocks(tokens)]
-        sizes.append(len(found))
-        for token in found:
-            texts[token].append(i)
-    classes: dict[tuple[int, ...], set[tuple[str, ...]]] = defaultdict(set)
-    for path, v in tags.items():
-        if len(v) >= REPEATED:
-            classes[tuple(v)].add(path)
-    repeated = [(token, v, set(v)) for token, v in texts.items() if len(v) >= REPEATED_SHARE * REPEATED]
-    groups = {frozenset(range(len(pages))): None}
-    for v, paths in classes.items():
-        holding = frozenset(v)
-        if len(holding) < REPEATED or holding in groups:
-            continue
-        # a valid class has one order on every page that holds it
-        if len(paths) == 1 or len({tuple(dict.fromkeys(p for p in orders[i] if p in paths)) for i in holding}) == 1:
-            groups[holding] = next(iter(paths))
-    for holding, path in groups.items():
-        total = sum(sizes[i] for i in holding)
-        some = [(token, v, own) for token, v, own in repeated if len(own & holding) >= REPEATED_SHARE * len(holding)]
-        if sum(sum(i in holding for i in v) for _, v, _ in some) > COPIES * total:
-            some = [x for x in some if path is None and len(x[2]) == len(pages)]
-        if some:
-            template.groups.append((path, {token for token, _, _ in some}))
-    return template
-
-
-def extract(tokens: list[Token], template: Template) -> str:
-    """The page's blocks outside boilerplate and template text, joined by line ends; those of its main and article elements where they hold most of it."""
-    plain = template.plain
-    opens = {plain(t.path) for t in tokens if t.kind == "open"} if template.groups else set()
-    fixed = [texts for path, texts in template.groups if path is None or path in opens]
-    found = [(path, text) for path, text in blocks(tokens) if not any((plain(path), text) in texts for texts in fixed)]
-    total = sum(len(text) for _, text in found)
-    own = [any(label.partition(".")[0] in ("article", "main") for label in path) for path, _ in found]
-    if sum(len(text) for (_, text), k in zip(found, own, strict=True) if k) >= SHARE * total:
-        found = [x for x, k in zip(found, own, strict=True) if k or any(label.partition(".")[0] == "h1" for label in x[0])]
-    return "\n".join(text for _, text in found)
-
-
-def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """(host, row) in order of host to chunks of one host; runs below POOLED pages are pooled."""
-    pool: list[tuple] = []
-    run: list[tuple] = []
-
-    def flush(run: list[tuple]) -> Iterator[list[tuple]]:
-        if len(run) >= POOLED:
-            yield run
-        else:
-            pool.extend(run)
-            if len(pool) >= CHUNK // 2:
-                yield pool.copy()
-                pool.clear()
-
-    for row in rows:
-        if run and row[0] != run[0][0]:
-            yield from flush(run)
-            run = []
-        elif len(run) >= 2 * CHUNK - 1:  # the rest of a host is never a small chunk of its own
-            yield run[:CHUNK]
-            run = run[CHUNK:]
-        run.append(row)
-    if run:
-        yield from flush(run)
-    if pool:
-        yield pool
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                yield from zip(*(batch.column(c).slice(k, 500).to_pylist() for c in ("host", "page_id", "url", "html")), strict=True)
-
-    for chunk in _chunks(rows()):
-        pages = [parse(r[3] or "") for r in chunk]
-        template = deduce([p for p in pages if p]) if any(pages) else Template(None, [])
-        texts = [extract(p, template) for p in pages]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-        cols = ([r[1] for r in chunk], [r[2] for r in chunk], texts, [len(t) for t in texts])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "text", "n_chars"])
+        elif not bad[event[3]]:
+            if not held:
+                first = event
+            held.append(event[0])
+    return out, Counter(_signed(token) for token, named in tags if not bad[named])
+
+
+PARSED = "host string, page_id long, url string, page long, tags array<struct<token:long,n:int>>, blocks array<struct<token:long,owner:long,main:boolean,h1:boolean,text:string>>"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tag, block = pa.struct([("token", pa.int64()), ("n", pa.int32())]), pa.struct([("token", pa.int64()), ("owner", pa.int64()), ("main", pa.bool_()), ("h1", pa.bool_()), ("text", pa.string())])
+    arrow = pa.schema([("host", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("page", pa.int64()), ("tags", pa.list_(tag)), ("blocks", pa.list_(block))])
+    names = ("token", "owner", "main", "h1", "text")
+    for batch in batches:
+        for k in range(0, batch.num_rows, PAGES):
+            some = batch.slice(k, PAGES)
+            parsed = [parse(h or "") for h in some.column("html").to_pylist()]
+            pages = [_signed(_hash(" ".join(str(b[0]) for b in blocks), len(blocks))) if blocks else None for blocks, _ in parsed]
+            tags = [[{"token": t, "n": n} for t, n in sorted(own.items())] for _, own in parsed]
+            blocks = [[dict(zip(names, b, strict=True)) for b in own] for own, _ in parsed]
+            cols = [some.column("host"), some.column("page_id"), some.column("url"), pages, tags, blocks]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """host, token of the template texts of each host, from the tokens of all its different pages (PARSED)."""
+    pages = parsed.where("page IS NOT NULL").select("host", "page", "tags", F.transform("blocks", lambda b: F.struct(b["token"].alias("token"), b["owner"].alias("owner"))).alias("texts")).dropDuplicates(["host", "page"])
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT)
+    pages = pages.withColumn("blocks", F.size("texts"))
+    tags = pages.select("host", "page", "blocks", F.inline("tags")).select("host", "page", "blocks", "token", "n", F.lit(None).cast("long").alias("owner"))
+    texts = pages.select("host", "page", "blocks", F.inline("texts")).groupBy("host", "page", "token").agg(F.max("blocks").alias("blocks"), F.count("*").cast("int").alias("n"), F.min("owner").alias("owner"))
+    rows = tags.unionByName(texts.select(tags.columns))
+    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("n").alias("times"), F.sum("blocks").alias("blocks"), F.min("owner").alias("owner"))
+    vectors = vectors.join(hosts, "host").where((F.col("on") >= SUPPORT) & (F.col("on") >= SHARE_OF_HOST * F.col("pages")))
+    vectors = materialise(vectors, "vectors")
+    is_text = F.col("owner").isNotNull()
+    classes = vectors.groupBy("host", "vector").agg(F.count_if(~is_text).alias("tags"), F.sum(F.when(is_text, F.col("times"))).alias("text_times"), F.max("blocks").alias("class_blocks"))
+    element = vectors.where(~is_text).select("host", F.col("token").alias("owner"), F.col("on").alias("element_on"))
+    found = vectors.where(is_text).join(classes, ["host", "vector"]).join(element, ["host", "owner"], "left")
+    own = (F.col("tags") > 0) & (F.col("text_times") <= COPIES * F.col("class_blocks"))
+    nearly = (F.col("element_on") * 2 >= F.col("pages")) & (F.col("on") >= NEARLY * F.col("element_on"))
+    flagged = found.withColumn("own", own).withColumn("nearly", nearly)
+    # nearly all pages' texts, too, are copies where they are most of these pages' blocks
+    copies = flagged.where("nearly").groupBy("host", "owner").agg(F.sum("times").alias("t"), F.max("blocks").alias("b")).where(F.col("t") > COPIES * F.col("b")).select("host", "owner", F.lit(True).alias("copied"))
+    flagged = flagged.join(copies, ["host", "owner"], "left")
+    return flagged.where("(own OR nearly) AND copied IS NULL AND (nearly OR own)").select("host", "token")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html).
 
     Null or empty html gives an empty text; null urls are pages of one host named by the empty string; repeated rows are kept each; other columns
-    are ignored. Without a template (few pages, mixed hosts) the main and article elements, else the page without boilerplate elements, are the text."""
-    keyed = pages.select(host_of(F.col("url")).alias("host"), "page_id", "url", "html").withColumn("h", F.xxhash64("page_id", "url"))
-    dealt = keyed.repartitionByRange("host", "h").sortWithinPartitions("host", "h")
-    return dealt.select("host", "page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    are ignored. On hosts of fewer than SUPPORT different pages nothing is template text."""
+    keyed = pages.select(host_of(F.col("url")).alias("host"), "page_id", "url", "html")
+    parsed = materialise(keyed.mapInArrow(_parse, PARSED), "parsed", PAGES)
+    found = materialise(templates(parsed).groupBy("host").agg(F.collect_set("token").alias("template")), "templates")  # 1 / SHARE_OF_HOST times a page's blocks a host
+    small = found.agg(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).first()[0] <= MAX_BROADCAST
+    both = parsed.join(F.broadcast(found) if small else found, "host", "left")
+    slots = both.withColumn("slots", F.filter("blocks", lambda b: F.col("template").isNull() | ~F.array_contains("template", b["token"])))
+    length = lambda b: F.length(b["text"]).cast("long")
+    total = F.aggregate("slots", F.lit(0).cast("long"), lambda n, b: n + length(b))
+    inside = F.aggregate("slots", F.lit(0).cast("long"), lambda n, b: n + F.when(b["main"], length(b)).otherwise(F.lit(0).cast("long")))
+    kept = F.when(inside >= SHARE * total, F.filter("slots", lambda b: b["main"] | b["h1"])).otherwise(F.col("slots"))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return slots.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

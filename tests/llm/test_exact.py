@@ -265,40 +265,57 @@ def test_article_text(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
-def test_repeated_text_is_template():
-    pages = [html_text.parse(page(k, f"<p>Body {k}</p><p>Subscribe to our letter today</p>")) for k in range(12)]
-    t = html_text.deduce(pages)
-    assert html_text.extract(pages[3], t) == "Title 3\nBody 3"
+def texts_of(spark, pages, parts=3):
+    df = spark.createDataFrame([(i, f"http://host.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(parts)
+    return [r["text"] for r in html_text.main_text(df).orderBy("page_id").collect()]
 
 
-def texts_of(pages):
-    parsed = [html_text.parse(p) for p in pages]
-    t = html_text.deduce(parsed)
-    return [html_text.extract(p, t) for p in parsed]
+def test_repeated_text_is_template(spark):
+    pages = [page(k, f"<p>Body {k}</p><p>Subscribe to our letter today</p>") for k in range(12)]
+    assert texts_of(spark, pages)[3] == "Title 3\nBody 3"
 
 
-def test_odd_pages_do_not_undo_the_template():
+def test_a_page_has_one_text(spark):
+    """Partitions, copies of pages, other hosts and any number of mates beyond the template's need make no difference."""
+    body = lambda k: page(k, f"<p>Body {k} with words of its own</p><div class='x{k % 2}'><b>Label {k % 2}</b></div>" + ("<p>passage that some pages share</p>" if k % 7 == 0 else ""))
+    few, many = [body(k) for k in range(40)], [body(k) for k in range(90)]
+    want = [f"Title {k}\nBody {k} with words of its own" + ("\npassage that some pages share" if k % 7 == 0 else "") for k in range(90)]
+    assert texts_of(spark, few, 1) == want[:40]
+    assert texts_of(spark, many, 13) == want
+    assert texts_of(spark, many + few[:9] * 6, 3)[:90] == want
+
+
+def test_odd_pages_do_not_undo_the_template(spark):
     notice = "<p>Our shop is closed on Sundays</p>"
     body = lambda k: f"<body class='page-{k}'><div>offer {k}</div><article class='post-{k}'><p>Text {k} of a page with enough words to hold most of it, twice over</p>{notice}</article></body>"
     odd = "<body><article><p>one odd page</p></article><article><p>with two parts</p></article></body>"
-    got = texts_of([body(k) for k in range(40)] + [odd])
+    got = texts_of(spark, [body(k) for k in range(40)] + [odd])
     assert got[:40] == [f"Text {k} of a page with enough words to hold most of it, twice over" for k in range(40)]
     assert got[40] == "one odd page\nwith two parts"
     # two templates on one host: each page loses its own template's text
     lists = [f"<body><div class='list'><ul><li>Item {k}</li></ul><b>Sorted by date</b></div></body>" for k in range(20)]
-    got = texts_of([body(k) for k in range(20)] + lists)
+    got = texts_of(spark, [body(k) for k in range(20)] + lists)
     assert got[20:] == [f"Item {k}" for k in range(20)]
     # copies of a page aren't a template
     copies = [f"<body><div class='x'><p>a {k}</p>" + "".join(f"<p>paragraph {i}</p>" for i in range(9)) + "</div></body>" for k in range(12)]
-    assert all(len(t.split("\n")) == 10 for t in texts_of(copies + [body(k) for k in range(20)])[:12])
+    assert all(len(t.split("\n")) == 10 for t in texts_of(spark, copies + [body(k) for k in range(20)])[:12])
 
 
-def test_nothing_beside_the_largest_element_is_lost():
+def test_nothing_beside_the_largest_element_is_lost(spark):
     pages = [f"<body><div class='post'><h1>Title {k}</h1><p class='lead'>Lead {k}</p><div class='text'><p>{f'long {k} ' * 40}</p><p>end {k}</p></div></div><nav>x</nav></body>" for k in range(12)]
-    assert texts_of(pages)[3] == "Title 3\nLead 3\n" + ("long 3 " * 40).strip() + "\nend 3"
+    assert texts_of(spark, pages)[3] == "Title 3\nLead 3\n" + ("long 3 " * 40).strip() + "\nend 3"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>", "<p><span>", "<div class='side'>", "<ul><li>"):
+        start = time.process_time()
+        blocks, _ = html_text.parse(unit * 10_000 + "deep text")
+        assert [b[4] for b in blocks] == ["deep text"] and time.process_time() - start < 2
 
 
 @pytest.mark.parametrize("start, end", [("<html class='header-fixed'><body class='has-sidebar'><article class='post tag-social'>", "</article>"), ("<body><div id='main' class='with-comments'>", "</div>"), ("<main class='promo'>", "</main>")])
 def test_class_words_of_the_holder_are_no_boilerplate(start, end):
-    tokens = html_text.parse(f"{start}<h1>T</h1><p>Some text of the page</p><div class='social'>share it</div>{end}<div class='ad'>buy</div>")
-    assert [t for _, t in html_text.blocks(tokens)] == ["T", "Some text of the page"]
+    blocks, _ = html_text.parse(f"{start}<h1>T</h1><p>Some text of the page</p><div class='social'>share it</div>{end}<div class='ad'>buy</div>")
+    assert [b[4] for b in blocks] == ["T", "Some text of the page"]
