@@ -2,8 +2,9 @@
 
 A payload is cut into access units, one packetised elementary packet (PES) each, with a presentation timestamp of the
 90 kHz clock. Every RAP_EVERY-th unit is a random-access point: the program association and map tables are repeated before it and its
-first transport packet carries the random-access flag and a clock reference. Reading goes from the tables: PAT, then PMT,
-then the elementary stream's packets, whose continuity counters are checked; damaged or missing packets are reported.
+first transport packet carries the random-access flag and a clock reference. Timestamps and random-access points are stored beside the stream. Reading goes
+from the tables: PAT, then PMT, the first undamaged ones; then the elementary stream's packets, whose continuity counters are checked. A packet that is sent
+twice counts once; damaged or missing packets are reported.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import materialise, table
+from quire.llm.common import materialise, slices, table
 
 PACKET = 188
 BODY = PACKET - 4
@@ -26,6 +28,8 @@ TICKS = 3_600  # of the 90 kHz clock between units
 RAP_EVERY = 8
 PMT_PID, STREAM_PID, PRIVATE_DATA, STREAM_ID, PROGRAM = 0x1000, 0x100, 0x06, 0xBD, 1
 ALIGN = 64
+#: Bytes of text or media that are handled at a time, one row at least.
+SLICE = 8_000_000
 
 
 def _crc_table() -> list[int]:
@@ -114,6 +118,11 @@ class Stream:
     faults: list[str] = field(default_factory=list)
 
 
+def units_of(size: int) -> list[dict]:
+    """Timestamp, random access, offset and size of the access units that a payload of this size is cut into."""
+    return [{"pts": k * TICKS & (1 << 33) - 1, "random_access": k % RAP_EVERY == 0, "offset": at, "size": min(UNIT_BYTES, size - at)} for k, at in enumerate(range(0, max(size, 1), UNIT_BYTES))]
+
+
 def _table(body: bytes, table_id: int, faults: list[str]) -> bytes | None:
     start = 1 + body[0]
     size = int.from_bytes(body[start + 1 : start + 3], "big") & 0xFFF
@@ -139,11 +148,13 @@ def demux(data: bytes) -> Stream:
     pid = (a[:, 1].astype(np.int32) & 31) << 8 | a[:, 2]
     control = a[:, 3] >> 4 & 3
     begin = 4 + np.where(control & 2, 1 + a[:, 4].astype(np.int32), 0)
-    has = (control & 1).astype(bool) & (begin <= PACKET)
+    has = (control & 1).astype(bool) & (begin < PACKET)
 
     def first(p: int, table_id: int) -> bytes | None:
-        rows = np.flatnonzero((pid == p) & has & ((a[:, 1] & 0x40) > 0))
-        return _table(a[rows[0], begin[rows[0]] :].tobytes(), table_id, s.faults) if len(rows) else None
+        for row in np.flatnonzero((pid == p) & has & ((a[:, 1] & 0x40) > 0)):
+            if (found := _table(a[row, begin[row] :].tobytes(), table_id, s.faults)) is not None:
+                return found
+        return None
 
     pat = first(0, 0)
     pmt = first(int.from_bytes(pat[2:4], "big") & 0x1FFF, 2) if pat else None
@@ -152,6 +163,9 @@ def demux(data: bytes) -> Stream:
         return s
     stream = int.from_bytes(pmt[4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF) :][1:3], "big") & 0x1FFF
     rows = np.flatnonzero((pid == stream) & has)
+    twice = np.concatenate([[False], (a[rows[1:], 1:] == a[rows[:-1], 1:]).all(1)]) if len(rows) else np.zeros(0, bool)
+    twice[2:] &= ~twice[1:-1]  # a third one is no repetition
+    rows = rows[~twice]
     counters = a[rows, 3] & 15
     if gaps := int(((counters[1:].astype(int) - counters[:-1]) % 16 != 1).sum()) if len(rows) else 0:
         s.faults.append(f"{gaps} gaps in continuity")
@@ -186,33 +200,41 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % ALIGN or (0 if raw else ALIGN)), len(raw)
 
 
+UNITS = "array<struct<pts:long,random_access:boolean,offset:long,size:long>>"
+
+
 def encode(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (binary) of every row of docs(doc_id, text); null text is empty, repeated rows are encoded each, other columns are ignored."""
+    """doc_id, n_bytes, media (binary), index (units by timestamp) of every row of docs(doc_id, text); null text is empty, repeated rows are encoded each, other columns are ignored."""
+    kind = _arrow_type(UNITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for at, to in slices(lengths, SLICE):
+                some = batch.slice(at, to - at)
                 pairs = [payload_of(t) for t in some.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([n for _, n in pairs], pa.int64()), pa.array([mux(p) for p, _ in pairs], pa.binary())], ["doc_id", "n_bytes", "media"])
+                index = pa.array([units_of(len(p)) for p, _ in pairs], kind)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([n for _, n in pairs], pa.int64()), pa.array([mux(p) for p, _ in pairs], pa.binary()), index], ["doc_id", "n_bytes", "media", "index"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_bytes long, media binary, index {UNITS}")
 
 
-UNITS = "array<struct<pts:long,random_access:boolean,offset:long,size:long>>"
+def _arrow_type(ddl: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(ddl))
 
 
 def decode(media: DataFrame) -> DataFrame:
     """Adds payload, units, faults to media(doc_id, n_bytes, media); damaged streams keep what could be read."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = to_arrow_type(_parse_datatype_string(UNITS))
+    kind = _arrow_type(UNITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
+            lengths = pc.fill_null(pc.binary_length(batch.column("media")), 0).to_pylist()
+            for at, to in slices(lengths, SLICE):
+                some = batch.slice(at, to - at)
                 got = [demux(m or b"") for m in some.column("media").to_pylist()]
                 units = [[dict(zip(("pts", "random_access", "offset", "size"), u, strict=True)) for u in s.units] for s in got]
                 yield pa.RecordBatch.from_arrays(

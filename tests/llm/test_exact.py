@@ -103,6 +103,27 @@ def test_damage_is_reported():
     assert media_ts.demux(stream[188:]).faults == ["no program"]
 
 
+def test_repeated_packets_full_fields_and_later_tables():
+    data = bytes(range(256)) * 300
+    stream = media_ts.mux(data)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    got = media_ts.demux(b"".join(p * (2 if i % 7 == 0 else 1) for i, p in enumerate(packets)))
+    assert got.payload == data and not got.faults
+    full = bytes([0x47, 0x40, 0, 0x30, 183]) + bytes(183)
+    assert media_ts.demux(full + stream).payload == data
+    bad = bytearray(packets[0])
+    bad[20] ^= 255
+    later = media_ts.demux(bytes(bad) + packets[0] + b"".join(packets[1:]))
+    assert later.payload == data and later.faults == ["table 0 is damaged"]
+
+
+def test_stored_index_is_what_is_read(spark):
+    df = spark.createDataFrame([(1, None), (2, "x" * 400_000)], "doc_id long, text string")
+    stored = media_ts.encode(df)
+    read = {r["doc_id"]: r["units"] for r in media_ts.decode(stored).collect()}
+    assert {r["doc_id"]: r["index"] for r in stored.collect()} == read and len(read[2]) == 25
+
+
 def test_media_digest(spark):
     rows = [(1, None), (2, ""), (3, "é" * 40), (3, "é" * 40), (4, "x" * 64)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash"))
