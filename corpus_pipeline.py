@@ -40,8 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = jaccard_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
     classes = classes.where("component_id IS NOT NULL").select(F.col("doc_id").alias("key"), "component_id").distinct()
     ranked = classes.join(keyed.select("key", "doc_id"), "key").select("component_id", "key", F.struct(F.col("doc_id").isNull(), "doc_id", "key").alias("rank"))
-    least = ranked.groupBy("component_id").agg(F.min("rank")["key"].alias("kept"))
-    gone = ranked.join(least, "component_id").where("key <> kept").select("key").distinct()
+    kept = ranked.groupBy("component_id").agg(F.min("rank")["key"].alias("key")).select("key")
+    gone = ranked.select("key").distinct().join(kept, "key", "left_anti")
     return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select(COLUMNS)
 
 
