@@ -540,11 +540,23 @@ def _(spark, d):
     return u.groupBy("page", "src").agg(F.count("*").alias("n"), F.round(F.sum((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))), 2).alias("area"))
 
 
-@query("q45_rect_difference")
+# parts get their numbers along the list of regions: those of an earlier part come first, its four sides in the order top, bottom, left, right
+CUTS = """g AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY id) AS k, "left" AS gl, top AS gt, "right" AS gr, bottom AS gb FROM boxes WHERE kind = 0),
+  n AS (SELECT page, max(k) AS m FROM g GROUP BY page),
+  f AS (SELECT page, id, 0 AS k, [0] AS path, "left" AS l, top AS t, "right" AS r, bottom AS b FROM boxes WHERE kind <> 0
+  UNION ALL SELECT page, id, k + 1, list_append(path, p.o), p.l, p.t, p.r, p.b FROM (
+    SELECT page, id, k, path, unnest(CASE WHEN il >= ir OR it >= ib THEN [{'o': 0, 'l': l, 't': t, 'r': r, 'b': b}]
+      ELSE list_filter([{'o': 1, 'l': l, 't': t, 'r': r, 'b': it}, {'o': 2, 'l': l, 't': ib, 'r': r, 'b': b}, {'o': 3, 'l': l, 't': it, 'r': il, 'b': ib}, {'o': 4, 'l': ir, 't': it, 'r': r, 'b': ib}], lambda x: x.r > x.l AND x.b > x.t) END) AS p
+    FROM (SELECT f.*, greatest(l, gl) AS il, greatest(t, gt) AS it, least(r, gr) AS ir, least(b, gb) AS ib FROM f JOIN g ON g.page = f.page AND g.k = f.k + 1) q) z)"""
+
+
+@query("q45_rect_difference", V.with_("boxes", more=CUTS, recursive=True) + 'SELECT f.page, id, CAST(row_number() OVER (PARTITION BY f.page, id ORDER BY path) - 1 AS INTEGER) AS part, l AS "left", t AS top, r AS "right", b AS bottom FROM f LEFT JOIN n ON n.page = f.page WHERE f.k = coalesce(n.m, 0)')
 def _(spark, d):
+    """Covers of pages without a region stay whole."""
     b = V.boxes(spark, d)
+    box = "array<struct<left:double,top:double,right:double,bottom:double>>"
     regions = b.where("kind = 0").groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "left", "top", "right", "bottom"))), lambda r: F.struct(r["left"].alias("left"), r["top"].alias("top"), r["right"].alias("right"), r["bottom"].alias("bottom"))).alias("regions"))
-    covers = b.where("kind <> 0").join(regions, "page")
+    covers = b.where("kind <> 0").join(regions, "page", "left").withColumn("regions", F.coalesce("regions", F.array().cast(box)))
     parts = layout.subtract_boxes(F.struct("left", "top", "right", "bottom"), F.col("regions"))
     return covers.select("page", "id", F.posexplode(parts).alias("part", "b")).select("page", "id", "part", "b.*")
 

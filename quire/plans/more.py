@@ -59,12 +59,13 @@ def _(spark, d):
   SELECT f.page, f.id, l, r, CASE WHEN touch AND NOT low AND gb <= t + 10 AND gt <= t THEN gb + 0.5 ELSE t END, CASE WHEN low THEN gt - 0.5 ELSE b END, blocked OR (touch AND NOT low AND NOT (gb <= t + 10 AND gt <= t)), k
   FROM (SELECT f.page, f.id, l, r, t, b, blocked, g.k, gl, gt, gr, gb, (l <= gr AND r >= gl AND t <= gb AND b >= gt) AS touch, (l <= gr AND r >= gl AND t <= gb AND b >= gt AND gt >= b - 10 AND gb >= b) AS low FROM f JOIN g ON g.page = f.page AND g.k = f.k + 1) f),
   n AS (SELECT page, max(k) AS k FROM g GROUP BY page)""", recursive=True)
-    + "SELECT f.page, f.id, round(t, 4) AS top, round(b, 4) AS bottom, CAST(blocked AS INTEGER) AS blocked FROM f JOIN n USING (page, k)",
+    + "SELECT f.page, f.id, round(t, 4) AS top, round(b, 4) AS bottom, CAST(blocked AS INTEGER) AS blocked FROM f LEFT JOIN n ON n.page = f.page WHERE f.k = coalesce(n.k, 0)",
 )
 def _(spark, d):
     b = V.boxes(spark, d)
     g = b.where("kind = 0").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id", "left", (F.col("top") - 80 + 6).alias("top"), "right", (F.col("bottom") - 80 + 70).alias("bottom")))).alias("regions"))
-    p = b.where("kind <> 0").join(g, "page").withColumn("size", F.lit(10.0))
+    none = F.array().cast("array<struct<id:int,left:double,top:double,right:double,bottom:double>>")
+    p = b.where("kind <> 0").join(g, "page", "left").withColumn("regions", F.coalesce("regions", none)).withColumn("size", F.lit(10.0))
     return styles.trim_to_regions(p).select("page", "id", F.round("top", 4).alias("top"), F.round("bottom", 4).alias("bottom"), F.col("blocked").cast("int").alias("blocked"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -12,13 +14,15 @@ CACHE_ENTRIES = 60_000
 MAX_NAMES = 499
 
 
-def output_names(docs: DataFrame, suffix: str = ".bilingual", custom: str = "", storage: str = "", extension: str = ".pdf") -> DataFrame:
-    """docs(doc_id, mode, path) -> doc_id, mode, dir, path, in_storage: routed by mode, and numbered where names collide."""
+def output_names(docs: DataFrame, suffix: str = ".bilingual", custom: str = "", storage: str = "", extension: str = ".pdf", overwrite: bool = False) -> DataFrame:
+    """docs(doc_id, mode, path) -> doc_id, mode, dir, path, in_storage: routed by mode, and numbered where names collide, up to MAX_NAMES; more are an error.
+    overwrite: names aren't numbered."""
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     where = F.when(F.col("mode") == "custom", F.lit(custom.strip())).when(F.col("mode") == "storage", F.lit(storage)).otherwise(parent)
     rows = docs.select("doc_id", "mode", where.alias("dir"), X.safe_stem(X.file_stem(F.col("path"))).alias("stem"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("dir", "stem").orderBy("doc_id")))
+    rows = rows.withColumn("k", F.lit(1) if overwrite else F.row_number().over(Window.partitionBy("dir", "stem").orderBy("doc_id")))
     number = F.when(F.col("k") == 1, F.lit("")).otherwise(F.concat(F.lit(" ("), F.col("k").cast("string"), F.lit(")")))
+    number = F.when(F.col("k") > MAX_NAMES, F.raise_error(F.concat(F.lit("Too many outputs are named "), "dir", F.lit("/"), "stem"))).otherwise(number)
     path = F.when(F.col("mode").isin("custom") & F.lit(not custom.strip()), F.raise_error(F.lit("No output folder is configured."))).otherwise(F.concat("dir", F.lit("/"), "stem", F.lit(suffix), number, F.lit(extension)))
     return rows.select("doc_id", "mode", "dir", path.alias("path"), (F.col("mode") == "storage").cast("int").alias("in_storage"))
 
@@ -35,5 +39,27 @@ def append_checkpoint(results: DataFrame, path: str, namespace: str, version: in
     rows.write.mode("append").parquet(path)
 
 
+def clear_checkpoint(spark: SparkSession, path: str, doc_key: str, namespace: str) -> None:
+    """What is kept is written beside and then takes the table's place: the document's entries of the namespace are gone, once its output stands."""
+    rows = spark.read.parquet(path)
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.where(~(F.col("doc_key").eqNullSafe(doc_key) & F.col("namespace").eqNullSafe(namespace))).write.parquet(beside)
+    jvm = spark._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.rename(new, old)
+
+
+def append_log(lines: DataFrame, path: str) -> None:
+    """lines(message) with the time they were written, appended."""
+    lines.select(F.current_timestamp().alias("at"), "message").write.mode("append").parquet(path)
+
+
+def write_structure(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Rows of the interchange shape (runs, lines, paragraphs or decisions by doc_id and page_index) as JSON lines that read_structure reads."""
+    rows.write.mode("overwrite" if overwrite else "errorifexists").json(path, ignoreNullFields=False)
+
+
 def write_decisions(decided: DataFrame, path: str, overwrite: bool = False) -> None:
     decided.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
