@@ -153,6 +153,24 @@ def smallest_container(covers: DataFrame, fills: DataFrame) -> DataFrame:
     return both.groupBy(F.col("c.page").alias("page"), F.col("c.id").alias("id")).agg(F.coalesce(F.min(F.when(F.col("f.id").isNotNull(), F.struct(area.alias("area"), F.col("f.id").alias("id"))))["id"], F.lit(-1)).cast("long").alias("fill"))
 
 
+#: Room that a cover takes around its text: left, top, right, bottom (fixed values).
+PADDING = (1.2, 2.5, 1.6, 2.0)
+
+
+def padded(boxes: DataFrame) -> DataFrame:
+    """Boxes grown to what must be covered when their text is replaced."""
+    return boxes.withColumns({"left": F.col("left") - PADDING[0], "top": F.col("top") - PADDING[1], "right": F.col("right") + PADDING[2], "bottom": F.col("bottom") + PADDING[3]})
+
+
+def overlapping_pairs(boxes: DataFrame) -> DataFrame:
+    """page, a, b, area: pairs of a page's boxes (a < b) that share an inner point, and the area they share."""
+    a, b = boxes.alias("a"), boxes.alias("b")
+    width = F.least("a.right", "b.right") - F.greatest("a.left", "b.left")
+    height = F.least("a.bottom", "b.bottom") - F.greatest("a.top", "b.top")
+    both = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.id") < F.col("b.id")) & G.overlap("a", "b"))
+    return both.select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), (width * height).alias("area"))
+
+
 def aligned_rules(boxes: DataFrame, ends: float = 8, reach: float = 100, least: int = 3) -> DataFrame:
     """For each rule with at least least aligned rules (itself included): their union."""
     a, b = boxes.alias("a"), boxes.alias("b")

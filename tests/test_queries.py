@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quire.plans import catalog, more  # noqa: F401
+from quire.plans import build, catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
