@@ -9,8 +9,8 @@ from quire.functions import text as X
 
 #: Most terms of a block.
 BLOCK_TERMS = 40
-#: Terms up to which a list is broadcast.
-MAX_BROADCAST = 5_000
+#: First words of terms up to which they are one list that every text is compared with.
+MAX_LISTED = 5_000
 
 
 def matches(units: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -22,16 +22,16 @@ def matches(units: DataFrame, glossary: DataFrame) -> DataFrame:
     g = glossary.select("ord", F.col("source").alias("term"), "target", F.regexp_extract(F.lower("source"), run, 0).alias("first")).withColumn("ascii", F.col("term").rlike(r"^[\x20-\x7e]+$"))
     keyed, free = g.where("ascii AND first <> ''"), g.where("NOT (ascii AND first <> '')")
     u = units.select("doc_id", "para_index", "source")
-    small = glossary.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    hint = F.broadcast if small else lambda df: df
+    listed = [r["first"] for r in keyed.select("first").distinct().limit(MAX_LISTED + 1).collect()]
     firsts = keyed.groupBy("first").agg(F.collect_list(F.struct("ord", "term", "target")).alias("terms"))
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("source"), F.lit("([a-z0-9]+)"), F.lit(1))))
-    if small:  # texts stay where they are: the words of each meet the listed first words, and only terms that may match are tested
-        met = u.withColumn("first", words).join(hint(firsts), "first").select("doc_id", "para_index", "source", F.inline("terms"))
-    else:  # only keys travel, texts come back for those that met
-        keys = u.select("doc_id", "para_index", words.alias("first")).join(firsts, "first").groupBy("doc_id", "para_index").agg(F.flatten(F.collect_list("terms")).alias("terms"))
-        met = u.join(keys, ["doc_id", "para_index"]).select("doc_id", "para_index", "source", F.inline("terms"))
-    rest = u.join(hint(free), X.contains_term(F.col("term"), F.col("source"))).select(*met.columns)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("source"), F.lit("([a-z0-9]+)"), F.lit(1)))
+    if len(listed) <= MAX_LISTED:  # texts stay where they are: only words that a listed term begins with become rows
+        met = u.withColumn("first", F.explode(F.array_intersect(words, F.lit(listed).cast("array<string>")))).join(F.broadcast(firsts), "first")
+    else:  # only words travel, texts come back for those that met
+        keys = u.select("doc_id", "para_index", F.explode(words).alias("first")).join(firsts, "first").groupBy("doc_id", "para_index").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+        met = u.join(keys, ["doc_id", "para_index"])
+    met = met.select("doc_id", "para_index", "source", F.inline("terms")).where(F.contains(F.lower("source"), F.lower("term")))
+    rest = u.join(free, X.contains_term(F.col("term"), F.col("source"))).select(*met.columns)
     return met.where(X.contains_term(F.col("term"), F.col("source"))).unionByName(rest).select("doc_id", "para_index", "ord", "term", "target")
 
 

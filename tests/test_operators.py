@@ -128,7 +128,7 @@ def test_wrapping_keeps_text(text, room):
 
 def naive_lines(atoms, room):
     """Lines by their definition, atom by atom."""
-    flat = [x for t, w in atoms for x in ([(c, typeset.em_width(c)) for c in t] if t and w > room else [(t, w)])]
+    flat = [x for t, w, *_ in atoms for x in ([(c, typeset.em_width(c)) for c in t] if t and w > room else [(t, w)])]
     lines, line = [], []
     for k, (t, w) in enumerate(flat):
         if line and sum(flat[i][1] for i in line) + w > room + 1e-9:
