@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     Null text has size 0 and is never taken more than its probability says (taken is 0 words anyway);
     null source is a source of its own, last in order. Repeated rows are rows of their own (row tells
     them apart in order of doc_id, text hash). Empty input gives empty output. Reruns agree: coins are functions
-    of hashed ids."""
+    of positions in a group, whose members and order come from hashes of ids and texts."""
     spark = docs.sparkSession
     sized = docs.select(
         "doc_id",
