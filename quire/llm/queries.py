@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import ann, html_text, jaccard_join, language, media_ts, mixing, packing, quality, toxicity, url_filter
+from quire.llm import ann, html_text, jaccard_join, language, media_ts, mixing, packing, quality, substrings, toxicity, url_filter
 
 QUERIES = {
     "op1_ann": ann.op1,
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_url_filter": url_filter.op9,
     "op10_packing": packing.op10,
+    "op11_substrings": substrings.op11,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op9_url_filter": url_filter.OP9_SQL,
+    "op11_substrings": substrings.OP11_SQL,
 }
