@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import ann, html_text, jaccard_join, language, media_ts, mixing, packing, quality, substrings, toxicity, url_filter
+from quire.llm import ann, html_text, jaccard_join, language, media_ts, mixing, packing, prefix_trie, quality, resampling, substrings, toxicity, url_filter
 
 QUERIES = {
     "op1_ann": ann.op1,
@@ -17,10 +17,14 @@ QUERIES = {
     "op9_url_filter": url_filter.op9,
     "op10_packing": packing.op10,
     "op11_substrings": substrings.op11,
+    "op12_resampling": resampling.op12,
+    "op13_prefix_trie": prefix_trie.op13,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op9_url_filter": url_filter.OP9_SQL,
     "op11_substrings": substrings.OP11_SQL,
+    "op12_resampling": resampling.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
