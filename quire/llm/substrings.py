@@ -3,8 +3,8 @@
 The reference is the corpus itself, so automata of all of it can't be sent to every task: that costs shards times documents.
 Documents are streamed in pieces instead, and a piece meets the one shard that can hold its repeats:
 
-1. A window (20 words) is known by its anchor, the least hash of its 8-word runs; equal windows have equal anchors. A document
-   becomes pieces, runs of at most 13 windows whose anchor stands at one place. Anchors are counted over all documents; a piece
+1. A window (20 words) is known by its anchor, the least hash of its 6-word runs; equal windows have equal anchors. A document
+   becomes pieces, runs of at most 15 windows whose anchor stands at one place. Anchors are counted over all documents; a piece
    whose anchor occurs once has no repeated window and goes no further.
 2. Pieces whose anchor occurs more often are a shard's reference text, each different piece once, with the first place where it
    stands. A shard's suffix automaton is built where its pieces are, each state with the earliest place of its words; the pieces
@@ -30,7 +30,7 @@ from quire.llm.common import materialise, slices, table, worker_tables
 
 WINDOW = 20
 #: Words of a run whose hash may become an anchor.
-GRAM = 8
+GRAM = 6
 #: Occurrences of an anchor from which on its pieces are cut to windows; about so many occurrences share an automaton.
 HEAVY, SHARD = 2_000, 2_000
 #: Bytes of text hashed at a time.
@@ -267,7 +267,7 @@ def _shard(pieces_: pa.Table) -> pa.Table:
         own = (rank[did] << 40 | start) + WINDOW - 1
         for j, place in enumerate(automaton.earliest(words, WINDOW)[WINDOW - 1 :]):
             masks[k] |= (0 <= place < own + j) << j
-    return pieces_.select(["a", "c1", "c2", "did", "start"]).append_column("mask", pa.array(masks, pa.int64()))
+    return pieces_.select(["c1", "c2", "did", "start"]).append_column("mask", pa.array(masks, pa.int64()))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,13 +308,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     texts = keyed.repartition("did", "key")
     found = texts.join(asked, ["did", "key"]).mapInArrow(_occurrences, "a long, c1 long, c2 long, did long, key long, start int, windows int, words binary")
-    piece = ["a", "c1", "c2"]
-    distinct = found.groupBy(piece).agg(F.min(F.struct("did", "start")).alias("at"), F.first("words", ignorenulls=True).alias("words"))
+    piece = ["c1", "c2"]
+    distinct = found.groupBy(piece).agg(F.min("a").alias("a"), F.min(F.struct("did", "start")).alias("at"), F.first("words", ignorenulls=True).alias("words"))
     distinct = distinct.select(*piece, "at.did", "at.start", "words", F.pmod("a", F.lit(shards)).alias("shard"))
-    known = distinct.groupBy("shard").applyInArrow(_shard, "a long, c1 long, c2 long, did long, start int, mask long")
+    known = distinct.groupBy("shard").applyInArrow(_shard, "c1 long, c2 long, did long, start int, mask long")
     known = known.select(*piece, F.struct("did", "start").alias("at"), "mask")
     gone = F.when(F.col("at") < F.struct("did", "start"), F.pow(F.lit(2), "windows").cast("long") - 1).otherwise(F.col("mask"))
-    spans = found.drop("words").join(known, piece).withColumn("mask", gone.cast("long")).where("mask <> 0")
+    spans = found.drop("a", "words").join(known, piece).withColumn("mask", gone.cast("long")).where("mask <> 0")
     spans = spans.groupBy("did", "key").agg(F.collect_set(F.col("start").cast("long") * MASK + F.col("mask")).alias("gone"))
     return texts.join(spans, ["did", "key"], "left").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 

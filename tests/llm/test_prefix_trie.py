@@ -53,9 +53,9 @@ def conversations(seed):
     for c in rng.sample(range(200), 90):
         for k in range(rng.randrange(1, 6)):
             rows.append((c, k, *turns[min(int(rng.expovariate(0.9)), 5)]))
-    whole = [(k, "user", f"turn {k}") for k in range(40)]
+    whole = [(k, "user", f"turn {k}") for k in range(12)]
     for c in (300, 301, 320, 340, 341, 360, 5_000, 9_000):  # long copies, one that ends early and one that goes on
-        rows += [(c, *t) for t in whole[: 35 if c == 340 else 40]] + ([(c, 41, "user", "more")] if c == 360 else [])
+        rows += [(c, *t) for t in whole[: 10 if c == 340 else 12]] + ([(c, 41, "user", "more")] if c == 360 else [])
     rows += [(400, None, "user", "first"), (400, 0, "user", "tie b"), (400, 0, "user", "tie a"), (400, 0, "user", "tie a"), (401, None, None, None), (None, 0, "user", "nobody's")]
     rows += [(-7, 0, "user", "below"), (-7, 1, "user", "zero"), (-20, 0, "user", "below"), (0, 0, "user", "hello there")]
     return rows
