@@ -48,7 +48,7 @@ def fonts_in_effect(ops: DataFrame) -> DataFrame:
 
     state = ops.where(F.col("op").isin("showText", "setFont", *_KEEP, *_BACK)).select(*PAGE, "seq", "op", "font_id")
     types = {f.name: f.dataType.simpleString() for f in ops.schema.fields}
-    return by_page(state, PAGE, ["seq"], fold, f"doc_id {types['doc_id']}, page_index {types['page_index']}, seq {types['seq']}, font_id string")
+    return by_page(state, PAGE, ["seq"], fold, f"seq {types['seq']}, font_id string")
 
 
 def compatible_forms(spark: SparkSession) -> DataFrame:

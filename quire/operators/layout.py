@@ -34,10 +34,12 @@ def column_edges(lines: DataFrame, tolerance: float = 14) -> DataFrame:
 def paragraphs(lines: DataFrame) -> DataFrame:
     """lines(page, seq, x, y, width, height, baseline, size, col, text) in reading order, plus para from 0.
 
-    A line starts a paragraph when the column changes, sizes differ, a bullet or an indent opens it, or the line before ends or stands too far off."""
+    A line starts a paragraph when the column changes, sizes differ, a bullet or an indent opens it, or the line before ends or stands too far off.
+    With a column bold, two bold lines around one middle are a heading: where they begin and end parts nothing."""
     order = Window.partitionBy("page").orderBy("seq")
     rows = column_edges(lines)
-    prev = {c: F.lag(c).over(order) for c in ("x", "y", "width", "height", "baseline", "size", "col", "text", "edge")}
+    rows = rows if "bold" in rows.columns else rows.withColumn("bold", F.lit(False))
+    prev = {c: F.lag(c).over(order) for c in ("x", "y", "width", "height", "baseline", "size", "col", "text", "edge", "bold")}
     rows = rows.select("*", *[v.alias(f"p_{c}") for c, v in prev.items()])
     lead = F.greatest("p_size", "size")
     ratio = F.when(F.col("p_col") == F.col("col"), (F.col("baseline") - F.col("p_baseline")) / lead)
@@ -45,15 +47,17 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     usual = F.coalesce(upper_median(F.collect_list("ratio").over(Window.partitionBy("page"))), F.lit(1.2))
     rows = rows.withColumn("usual", usual)
     bullet = r"^\s*[•●]"
+    apart = F.abs(F.col("p_x") + F.col("p_width") / 2 - F.col("x") - F.col("width") / 2)
+    free = ~(F.col("bold") & F.col("p_bold") & (apart < lead * 0.25))
     starts = F.col("p_x").isNotNull() & (
         (F.col("col") != F.col("p_col"))
         | (F.abs(F.col("size") - F.col("p_size")) > lead * 0.15)
         | F.col("text").rlike(bullet)
-        | ((F.col("col") >= 0) & (F.col("x") > F.col("p_x") + lead * 0.65) & (F.col("x") < F.col("p_x") + lead * 3) & ~F.col("p_text").rlike(bullet))
+        | ((F.col("col") >= 0) & free & (F.col("x") > F.col("p_x") + lead * 0.65) & (F.col("x") < F.col("p_x") + lead * 3) & ~F.col("p_text").rlike(bullet))
         | (F.col("baseline") - F.col("p_baseline") > lead * F.col("usual") * 1.3)
         | (F.col("y") - (F.col("p_y") + F.col("p_height")) > lead * 0.65)
-        | (F.col("p_width") < F.greatest(F.col("p_edge") - F.col("p_x"), F.lit(1.0)) * 0.82)
-        | (F.col("x") > F.col("p_x") + F.greatest(F.lit(12.0), lead))
+        | (free & (F.col("p_width") < F.greatest(F.col("p_edge") - F.col("p_x"), F.lit(1.0)) * 0.82))
+        | (free & (F.col("x") > F.col("p_x") + F.greatest(F.lit(12.0), lead)))
     )
     return rows.withColumn("para", F.sum(F.when(starts, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
-from quire.operators import batching, enrich, folds, layout, lookup, report, typeset
+from quire.operators import batching, enrich, folds, layout, lines, lookup, report, typeset
 from quire.sinks import append_checkpoint, append_log, clear_checkpoint, output_names, write_cache, write_structure
 from quire.sources.glossary import read_glossary
 from quire.sources.structure import read_cache, read_checkpoint, read_structure
@@ -73,15 +73,81 @@ def test_gutter_votes_anchor_on_the_first(spark):
         assert got[p] == (best[len(best) // 2] if len(best) >= 6 else None)
 
 
-def test_text_table_and_prose():
-    cells = [{"x": x, "y": 10.0 * r, "width": 30.0, "height": 11.0, "size": 10.0, "text": f"CELL{r}{k}"} for r in range(3) for k, x in enumerate((50.0, 145.0, 240.0))]
-    prose = [{"x": 40.0, "y": 60.0, "width": 260.0, "height": 11.0, "size": 10.0, "text": "Body below table remains translatable."}]
-    assert set(folds.text_tables(cells + prose)) == {(50.0, 0.0, 270.0, 31.0)}
+def test_text_table_and_prose(spark):
+    cells = [(1, 0, x, 10.0 * r, 30.0, 11.0, 10.0, f"CELL{r}{k}") for r in range(3) for k, x in enumerate((50.0, 145.0, 240.0))]
+    prose = [(1, 0, 40.0, 60.0, 260.0, 11.0, 10.0, "Body below table remains translatable.")]
+    df = spark.createDataFrame(cells + prose, "doc_id long, page_index long, x double, y double, width double, height double, size double, text string")
+    assert [tuple(r)[2:] for r in folds.table_regions(df).collect()] == [(0, 50.0, 0.0, 270.0, 31.0)]
+
+
+def test_text_tables_equal_brute_force(spark):
+    """Rows by their first run, cells by gaps, grids of like rows: against the definition, row by row."""
+    rng = random.Random(8)
+    rows = []
+    for page in range(25):
+        grid = [50.0 + 90.0 * k for k in range(rng.randrange(2, 5))]
+        for r in range(rng.randrange(1, 14)):
+            y = 14.0 * r + rng.choice([0.0, 0.0, 1.0, 1.9])
+            for x in grid:
+                for part in range(rng.choice([1, 1, 1, 1, 2, 0]) if r % 4 == 3 else 1):
+                    rows.append((page % 3, page, x + rng.choice([0.0, 0.0, 0.0, 4.0]) + 20 * part, y + rng.choice([0.0, 1.0]), rng.choice([8.0, 12.0]), 11.0, 10.0, rng.choice(["ab", "cd", "a cell of many words", "x"])))
+    want = []
+    for page in sorted({r[1] for r in rows}):
+        own = sorted((r for r in rows if r[1] == page), key=lambda r: (r[3], r[2]))
+        lines = []
+        for r in own:
+            if lines and abs(r[3] - lines[-1][0][3]) < max(r[6], lines[-1][0][6]) * 0.3:
+                lines[-1].append(r)
+            else:
+                lines.append([r])
+        grids = []
+        for line in lines:
+            cells = []
+            for r in sorted(line, key=lambda r: (r[2], r[3], r[7])):
+                if cells and r[2] - cells[-1]["right"] < r[6] * 1.5:
+                    cells[-1]["right"] = max(cells[-1]["right"], r[2] + r[4])
+                    cells[-1]["text"] += " " + r[7]
+                else:
+                    cells.append({"x": r[2], "y": r[3], "right": r[2] + r[4], "bottom": r[3] + r[5], "text": r[7]})
+            if len(cells) >= 3 and all(len(c["text"]) < 40 for c in cells):
+                grids.append(cells)
+        for g in grids:
+            same = [o for o in grids if len(o) == len(g) and abs(o[0]["y"] - g[0]["y"]) < 100 and all(abs(a["x"] - b["x"]) < 5 for a, b in zip(o, g, strict=True))]
+            if len(same) >= 3:
+                every = [c for o in same for c in o]
+                want.append((page, min(c["x"] for c in every), min(c["y"] for c in every), max(c["right"] for c in every), max(c["bottom"] for c in every)))
+    df = spark.createDataFrame(rows, "doc_id long, page_index long, x double, y double, width double, height double, size double, text string")
+    got = sorted((r["page_index"], r["left"], r["top"], r["right"], r["bottom"]) for r in folds.table_regions(df).collect())
+    assert got == sorted(set(want)) and len(got) > 5
 
 
 def test_attached_scripts():
-    lines = [{"text": "A long body line of text", "x": 40.0, "width": 200.0, "size": 10.0, "baseline": 100.0, "col": 0}, {"text": "2", "x": 100.0, "width": 3.0, "size": 6.0, "baseline": 96.0, "col": 0}]
-    assert folds.attach_scripts(lines) == {1: 0}
+    body = lines._Line([(40.0, 0, "A long body line of text", 240.0, 10.0)], 100.0, 0)
+    script = lines._Line([(100.0, 1, "2", 103.0, 6.0)], 96.0, 0)
+    lines.attached([body, script])
+    assert script.to is body and body.to is None and len(body.runs) == 2
+
+
+def test_many_boxes_merge_in_seconds():
+    rng = random.Random(4)
+    boxes = [(x, y, x + rng.uniform(0, 4), y + rng.uniform(0, 4)) for x, y in ((rng.uniform(0, 9000), rng.uniform(0, 9000)) for _ in range(100_000))]
+    begun = time.time()
+    merged = folds.merge_boxes(boxes, 1.0)
+    assert 1 < len(merged) < len(boxes) and time.time() - begun < 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(0, 12), st.integers(0, 12)), max_size=25), st.sampled_from([0.0, 2.0, 6.0]))
+def test_merge_equals_brute_force(raw, gap):
+    boxes = [(x, y, x + w, y + h) for x, y, w, h in raw]
+    want = boxes[:]
+    pair = True
+    while pair:
+        pair = next(((i, j) for i in range(len(want)) for j in range(i) if folds.touching(want[i], want[j], gap)), None)
+        if pair:
+            i, j = pair
+            want.append(folds.union([want.pop(i), want.pop(j)]))
+    assert sorted(folds.merge_boxes(boxes, gap)) == sorted(want)
 
 
 def drawing(spark, ops, captions=None):

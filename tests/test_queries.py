@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quire.plans import build, catalog, more, service  # noqa: F401
+from quire.plans import build, catalog, more, pages, service  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
