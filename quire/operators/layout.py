@@ -12,7 +12,7 @@ from quire.functions import geometry as G
 
 def upper_median(values: Column) -> Column:
     """Element floor(n / 2) of the sorted array."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+    return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
