@@ -379,6 +379,20 @@ def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 500]], t) for i, t in enumerate(kinds)], names)
 
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> node, text: each set once a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            texts = batch.column("text").slice(k, 500)
+            new = []
+            for i, u in enumerate(shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()])):
+                if len(u) and (node := set_id(u)) not in seen:
+                    seen.add(node)
+                    new.append((i, node))
+            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in new], pa.int64()), texts.take(pa.array([i for i, _ in new], pa.int64()))], ["node", "text"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (hub, salt, member): every member that links with its hub, compared set by set; one hub is held at a time."""
     hub, own = None, None
@@ -421,8 +435,12 @@ def _verify(pairs: DataFrame, texts: Texts, name: str) -> DataFrame:
     jobs = hubs.unionByName(members).groupBy("node").agg(F.collect_list(F.struct("hub", "salt")).alias("jobs"))
     ids = materialise(texts.nodes.select("node", F.col("doc_id").alias("of")).join(jobs, "node"), f"{name}-jobs")
     docs = texts.docs.where("text IS NOT NULL")
+    nameless = ids.where("of IS NULL")
     small = ids.agg(F.coalesce(F.sum(F.size("jobs") + 1), F.lit(0))).first()[0] <= MAX_BROADCAST
     some = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["of"]).select("node", "text", "jobs")
+    if not nameless.isEmpty():  # sets whose documents all have a null id are told by the set itself
+        named = docs.where("doc_id IS NULL").select("text").mapInArrow(_nodes, "node long, text string")
+        some = some.unionByName(named.join(nameless, "node").select("node", "text", "jobs"))
     sets = some.mapInArrow(_own_sets, SETS).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
     return materialise(sets.mapInArrow(_linked, "a long, b long"), f"{name}-links", 500)
 
@@ -557,7 +575,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
 
     Null and blank texts have no shingles and are classes of their own; texts of fewer than five words link with equal word
-    sequences. Repeated rows share a class. Other columns are ignored; an empty table gives an empty result."""
+    sequences. Repeated rows share a class. Rows without doc_id link like others and have their class's id, which is null where no row of the class
+    has one. Other columns are ignored; an empty table gives an empty result."""
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, int(chars / 6 * 0.5 / PER_PART) + 1)

@@ -185,6 +185,23 @@ def test_join_equals_brute_force(spark, seed):
     assert got == classes(rows)
 
 
+def test_null_and_repeated_ids_keep_their_links(spark):
+    """Rows without an id bridge others, and have the class of those they link with; ids that come with several texts are one for each."""
+    words = [f"word{k}" for k in range(60)]
+    near = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(words))
+    alone = " ".join(f"alone{k}" for k in range(30))
+    rows = [(5, near(3)), (None, near(3, 4)), (7, near(3, 4, 8)), (9, near(40)), (None, near()), (None, near()), (None, alone), (None, alone + " end"), (None, None), (11, "by itself"), (11, near(41)), (12, "by itself")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by_row = [(i if d is not None else -1 - i, t) for i, (d, t) in enumerate(rows)]  # every row an id of its own
+    label = {i: c for i, _, c in classes(by_row)}
+    least = {}
+    for (i, _), (d, _) in zip(by_row, rows, strict=True):
+        least[label[i]] = min((x for x in (least.get(label[i]), d) if x is not None), default=None)
+    want = sorted(((d, least[label[i]]) for (i, _), (d, _) in zip(by_row, rows, strict=True)), key=repr)
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == want
+    assert sum(c == 5 for d, c in want if d is None) == 3
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")

@@ -77,7 +77,7 @@ def test_null_and_repeated_ids_lose_nothing(spark):
 
 def test_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 def test_shared_folder_is_the_sessions(spark):
