@@ -5,6 +5,7 @@ The windowed event aggregates are an extension for live corpora, with watermarks
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,10 +22,12 @@ def resume(units: DataFrame, checkpoint: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def persist_batches(results: DataFrame, path: str, namespace: str, checkpoint_dir: str, handle: Callable[[DataFrame, int], DataFrame] | None = None) -> StreamingQuery:
-    """Each micro-batch of results(doc_key, unit_key, translated) is handled once and appended; a restart repeats at most one batch, and readers keep one row a unit."""
+    """Each micro-batch of results(doc_key, unit_key, translated) is handled once and appended; a restart repeats at most one batch, which then takes its own
+    place in the table again: a batch is named by its stream's checkpoint and its number."""
+    stream = f"{zlib.crc32(checkpoint_dir.encode()):08x}"
 
     def write(df: DataFrame, number: int) -> None:
-        append_checkpoint(handle(df, number) if handle else df, path, namespace)
+        append_checkpoint(handle(df, number) if handle else df, path, namespace, batch=f"{stream}-{number}")
 
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 

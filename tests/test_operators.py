@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire import sinks
 from quire.functions import geometry as G
 from quire.operators import batching, enrich, folds, layout, lines, lookup, report, typeset
 from quire.sinks import append_checkpoint, append_log, clear_checkpoint, output_names, write_cache, write_structure
@@ -336,6 +337,42 @@ def test_cache_and_checkpoint_tables(spark, tmp_path):
     assert expire(spark.read.parquet(str(tmp_path / "p")), 7, later).count() == 0
 
 
+@pytest.mark.parametrize("stop", [1, 2])
+def test_a_clear_that_stops_loses_nothing(spark, tmp_path, monkeypatch, stop):
+    path = str(tmp_path / "p")
+    rows = spark.createDataFrame([(f"d{k}", "0:0", f"t{k}") for k in range(40)], "doc_key string, unit_key string, translated string")
+    append_checkpoint(rows, path, "ns")
+    move, calls = sinks._move, []
+
+    def breaks(*args):
+        calls.append(args)
+        if len(calls) == stop:
+            raise OSError("stopped")
+        move(*args)
+
+    monkeypatch.setattr(sinks, "_move", breaks)
+    with pytest.raises(OSError):
+        clear_checkpoint(spark, path, "d7", "ns")
+    monkeypatch.setattr(sinks, "_move", move)
+    sinks.restore_checkpoint(spark, path)
+    known = lambda: {r["doc_key"] for r in read_checkpoint(spark, path, None, "ns").collect()}
+    assert known() == {f"d{k}" for k in range(40)}
+    clear_checkpoint(spark, path, "d7", "other")
+    clear_checkpoint(spark, path, "nobody", "ns")
+    assert len(known()) == 40
+    clear_checkpoint(spark, path, "d7", "ns")
+    assert known() == {f"d{k}" for k in range(40)} - {"d7"}
+
+
+def test_a_batch_that_comes_again_takes_its_own_place(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = spark.createDataFrame([(f"d{k}", "0:0", "one") for k in range(10)], "doc_key string, unit_key string, translated string")
+    for _ in range(3):
+        append_checkpoint(rows, path, "ns", batch="s-0")
+    append_checkpoint(rows.limit(1), path, "ns", batch="s-1")
+    assert spark.read.parquet(path).count() == 11
+
+
 def test_clear_log_and_interchange(spark, tmp_path):
     rows = spark.createDataFrame([("d", "0:0", "one"), ("e", "0:1", "two")], "doc_key string, unit_key string, translated string")
     append_checkpoint(rows, str(tmp_path / "p"), "ns")
