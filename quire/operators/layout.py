@@ -128,12 +128,14 @@ def borrow_gutters(pages: DataFrame, tolerance: float = 0.025, least: int = 2) -
     """pages(doc, page, width, gutter) plus borrowed: own gutter, else the upper median of the largest cluster among the document's
     pages of the same width. Pages compare within a document and a bin of widths."""
     have = pages.where("gutter IS NOT NULL").select("doc", F.col("page").alias("o"), F.col("width").alias("ow"), F.col("gutter").alias("og"), F.floor("width").cast("long").alias("bin"))
-    lack = pages.where("gutter IS NULL").select("doc", "page", "width", F.explode(F.array(*[F.floor("width").cast("long") + k for k in (-1, 0, 1)])).alias("bin"))
-    seen = lack.join(have, ["doc", "bin"]).where(F.abs(F.col("ow") - F.col("width")) < 1).groupBy("doc", "page", "width").agg(F.array_sort(F.collect_list("og")).alias("e"))
-    clusters = F.transform("e", lambda v: F.filter("e", lambda o: F.abs(o - v) < F.col("width") * tolerance))
+    widths = pages.where("gutter IS NULL").select("doc", "width").distinct()  # pages of one width borrow the same
+    lack = widths.select("doc", "width", F.explode(F.array(*[F.floor("width").cast("long") + k for k in (-1, 0, 1)])).alias("bin"))
+    seen = lack.join(have, ["doc", "bin"]).where(F.abs(F.col("ow") - F.col("width")) < 1).groupBy("doc", "width").agg(F.sort_array(F.collect_list("og")).alias("e"))
+    distinct = F.array_distinct("e")
+    clusters = F.transform(distinct, lambda v: F.filter("e", lambda o: F.abs(o - v) < F.col("width") * tolerance))
     best = F.aggregate(clusters, F.array().cast("array<double>"), lambda a, c: F.when(F.size(c) > F.size(a), c).otherwise(a))
-    borrowed = seen.withColumn("best", best).select("doc", "page", F.when(F.size("best") >= least, F.get("best", F.floor(F.size("best") / 2).cast("int"))).alias("b"))
-    return pages.join(borrowed, ["doc", "page"], "left").withColumn("borrowed", F.coalesce("gutter", "b")).drop("b")
+    borrowed = seen.withColumn("best", best).select("doc", "width", F.when(F.size("best") >= least, F.get("best", F.floor(F.size("best") / 2).cast("int"))).alias("b"))
+    return pages.join(borrowed, ["doc", "width"], "left").withColumn("borrowed", F.coalesce("gutter", "b")).drop("b")
 
 
 def outside_regions(runs: DataFrame, regions: DataFrame) -> DataFrame:
