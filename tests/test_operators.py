@@ -1,5 +1,7 @@
 import json
+import os
 import random
+import threading
 import time
 
 import pytest
@@ -337,6 +339,29 @@ def test_cache_and_checkpoint_tables(spark, tmp_path):
     assert expire(spark.read.parquet(str(tmp_path / "p")), 7, later).count() == 0
 
 
+def test_requests_of_a_whole_job_are_bounded(spark, tmp_path):
+    class Slow:
+        """Answers after a while, and notes when it was asked and when it had answered."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def complete(self, system, segments):
+            begun = time.time()
+            time.sleep(0.15)
+            with open(f"{self.folder}/{os.getpid()}-{begun}-{threading.get_ident()}", "w") as f:
+                f.write(f"{begun} {time.time()}")
+            return json.dumps({"segments": [{"i": s["i"], "t": s["t"]} for s in segments]}), 1
+
+    units = spark.createDataFrame([(d, 0, k, f"text {k}") for d in range(24) for k in range(2)], "doc_id long, batch int, para_index int, source string").repartition(4)
+    folder = str(tmp_path)
+    enriched = enrich.enrich(units, lambda: Slow(folder), concurrency=2, at_once=4)
+    assert enriched.rdd.getNumPartitions() == 2 and enriched.count() == 48
+    spans = [tuple(map(float, p.read_text().split())) for p in tmp_path.iterdir()]
+    most = max(sum(a <= at < b for a, b in spans) for at, _ in spans)
+    assert len(spans) == 24 and 1 < most <= 4
+
+
 @pytest.mark.parametrize("stop", [1, 2])
 def test_a_clear_that_stops_loses_nothing(spark, tmp_path, monkeypatch, stop):
     path = str(tmp_path / "p")
