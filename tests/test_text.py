@@ -74,3 +74,34 @@ def test_white_space_and_lengths(spark, texts):
         plain = "".join(" " if c in " 　﻿\t" else c for c in t)
         assert got[i]["c"] == " ".join(plain.split(" ")).strip() or got[i]["c"] == " ".join(plain.split())
         assert got[i]["n"] == len(t.encode("utf-16-be")) // 2
+
+
+def test_prompts_keys_and_reasons(spark):
+    from quire.functions import replies as R
+    from quire.operators import enrich
+
+    one = spark.range(1)
+    prompt = one.select(R.system_prompt(F.lit("base"), F.lit("- a → b")).alias("a"), R.system_prompt(F.lit("base"), F.lit("")).alias("b"), R.system_prompt(F.lit("base"), F.lit(None)).alias("c")).first()
+    assert tuple(prompt) == ("base\n\n- a → b", "base", "base")
+    keys = one.select(X.checkpoint_key(F.lit("/d/a.pdf"), F.lit(3), F.lit(9)).alias("k"), X.hash128(F.lit("/d/a.pdf\0" + "3\0" + "9")).alias("w"), X.checkpoint_key(F.lit("/d/a.pdf"), F.lit(39), F.lit("")).alias("o")).first()
+    assert keys["k"] == keys["w"] != keys["o"] and len(keys["k"]) == 32
+    names = [one.select(X.cache_namespace(*[F.lit(x) for x in parts]).alias("n")).first()["n"] for parts in (("3", "u", "m", "zh", ""), ("3", "u", "m", "ja", ""), ("3", "u", "mzh", "", ""))]
+    assert len(set(names)) == 3
+    rows = spark.createDataFrame([(1, 2, "late"), (1, 0, "first"), (1, 1, "first"), (1, 3, "third"), (1, 4, "fourth"), (2, 0, None)], "doc_id long, batch int, error string")
+    assert [tuple(r) for r in enrich.failure_reasons(rows).collect()] == [(1, ["first", "late", "third"])]
+
+
+def test_whole_files_and_decisions(spark, tmp_path):
+    from quire.sinks import write_decisions
+    from quire.sources.structure import read_files
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 one")
+    (tmp_path / "b.txt").write_bytes(b"no")
+    files = read_files(spark, str(tmp_path)).collect()
+    assert [(r["path"].rsplit("/", 1)[1], bytes(r["content"]), r["length"]) for r in files] == [("a.pdf", b"%PDF-1.4 one", 12)]
+    decided = spark.createDataFrame([(1, 0, "draw")], "doc_id long, para_index int, reason string")
+    write_decisions(decided, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_decisions(decided, str(tmp_path / "out"))
+    write_decisions(decided, str(tmp_path / "out"), overwrite=True)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 0, "draw")]
