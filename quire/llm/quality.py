@@ -27,7 +27,7 @@ from quire.llm.common import hashed_share, held_out, release, slices, table, wor
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 20_000
 THRESHOLD = 0.7
-SLICE = 2_000_000
+SLICE = 1_000_000
 _K = 16
 LONGEST = 12
 N_FEATURES = _K * _K + LONGEST + 6
