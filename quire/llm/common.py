@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,40 @@ def hashed_share(key: Column, bound: int, total: int, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < int(min(1.0, bound / max(total, 1)) * (1 << 40))
 
 
+def order_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order."""
+    bits = (x + 0.0).view(np.int64)  # -0.0 becomes 0.0
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
+def from_order_bits(bits: np.ndarray) -> np.ndarray:
+    return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.float64)
+
+
+def quantiles(rows: DataFrame, key: str, bits: str, qs: list[float]) -> dict:
+    """For each key (whole numbers), the quantiles qs of all its values, exactly as numpy.quantile has them; bits: the column with order_bits of the values.
+
+    Four rounds find 16 bits each of the order statistics by counts of values, of which at most 2 ** 16 are of one key and rank: nothing is sorted
+    as a whole or held by one task. The driver gets one row a key and rank."""
+    n = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
+    wanted = sorted({(k, 0, at, at) for k, c in n.items() for q in qs for at in (int(q * (c - 1)), min(int(q * (c - 1)) + 1, c - 1))})
+    for shift in (48, 32, 16, 0):
+        if not wanted:
+            break
+        ranks = F.broadcast(rows.sparkSession.createDataFrame(wanted, "key long, prefix long, rest long, rank long"))
+        prefix = F.shiftright(bits, shift + 16) if shift < 48 else F.lit(0).cast("long")
+        own = rows.select(F.col(key).cast("long").alias("key"), prefix.alias("prefix"), F.shiftright(bits, shift).alias("digit")).join(ranks.select("key", "prefix").distinct().hint("broadcast"), ["key", "prefix"], "left_semi")
+        upto = own.groupBy("key", "prefix", "digit").count().withColumn("upto", F.expr("sum(count) OVER (PARTITION BY key, prefix ORDER BY digit)"))
+        found = upto.join(ranks, ["key", "prefix"]).where("rest < upto AND rest >= upto - count")
+        wanted = [tuple(r) for r in found.select("key", "digit", F.expr("rest - (upto - count)"), "rank").collect()]
+    value = dict(zip(((k, rank) for k, _, _, rank in wanted), from_order_bits(np.array([w[1] for w in wanted], np.int64)).tolist(), strict=True))
+    out = {}
+    for k, c in n.items():
+        at = [(int(q * (c - 1)), min(int(q * (c - 1)) + 1, c - 1), q * (c - 1) % 1) for q in qs]
+        out[k] = [value[k, a] + (value[k, b] - value[k, a]) * part for a, b, part in at]
+    return out
+
+
 def release() -> None:
     """Give what is no longer used back to the system."""
     gc.collect()

@@ -4,39 +4,42 @@ An n-gram is hashed to one number that holds its code points, so that letters of
 training row, inside the tasks and then by groupBy; continuation counts of bigrams and letters are aggregates of these. A language's model
 is sorted arrays of n-gram hashes with their parts of the interpolated estimate
     P(w | u v) = max(n(u v w) - D, 0) / n(u v .) + D * N(u v .) / n(u v .) * P(w | v)
-and the same for P(w | v) over continuation counts. MAX_GRAMS bounds what models hold: the languages share it, and each keeps its most frequent
-n-grams; counts and backoff weights cover the others, too, which are scored by backing off.
+and the same for P(w | v) over continuation counts. No n-gram is left out: where the languages have more than MAX_GRAMS trigrams together, the
+models are cut into shards by a trigram's middle letter, and texts are scored in one pass a shard. A shard holds all that its trigrams need: the
+trigrams, the bigrams that start or end with its letters, and every letter.
 
 A text's language is the one with the lowest cross-entropy per letter. The score is the posterior of that language with
-a temperature fitted on training rows. A text is rejected if its best cross-entropy is above what training rows of the
-language show: their REJECT quantile plus a margin of MARGIN nats.
+a temperature fitted on all training rows. A text is rejected if its best cross-entropy is above what training rows of the
+language show: the REJECT quantile of all of them plus a margin of MARGIN nats.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from quire.llm import chars
-from quire.llm.common import hashed_share, held_out, materialise, slices, table, worker_tables
+from quire.llm.common import discard, held_out, materialise, order_bits, quantiles, slices, table, worker_tables
 
-#: n-grams of one order that all models hold together; rows of the sample for calibration; a slice's letters; languages that are scored at a time; counts a task holds.
+#: About how many trigrams a shard of the models holds; a slice's letters; languages that are scored at a time; counts a task holds.
 MAX_GRAMS = 1_000_000
-CALIBRATION_ROWS = 4000
 SLICE = 250_000
 TOGETHER = 16
 HELD = 2_000_000
 REJECT, MARGIN = 0.999, 1.0
 DISCOUNT = 0.75
 FLOOR = -16.0
+TEMPERATURES = (0.5, 1, 2, 4, 8, 16, 32, 64)
+#: Losses are summed as whole numbers of this part of a nat: the sum doesn't depend on the order of rows.
+LOSS_UNIT = 1e-12
 _B = chars.BITS
 _MASK = (1 << _B) - 1
 
@@ -79,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def estimates(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of counts(lang, gram, n) of all trigrams: trigrams (n, total, kinds of their context), contexts and bigrams (total, kinds; cont, row, kinds1),
-    letters (cont, kinds of all), each with its language and its rank there."""
+    letters (cont, kinds of all), each with its language."""
     second, last = F.shiftright("gram", _B), F.col("gram").bitwiseAND(F.lit((1 << 2 * _B) - 1))
     context = counts.groupBy("lang", second.alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     bigram = counts.groupBy("lang", last.alias("gram")).agg(F.count("*").alias("cont"))
@@ -91,16 +94,16 @@ def estimates(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return three, two.select("lang", "gram", "cont", "row", "kinds1", "total", "kinds"), one
 
 
-def _most(rows: DataFrame, by: Column, bound: int) -> dict[str, dict[str, np.ndarray]]:
-    """The rows of each language, sorted by gram: the bound with the largest value of `by`, ties by gram."""
+def _arrays(rows: DataFrame) -> dict[str, dict[str, np.ndarray]]:
+    """The rows of each language, sorted by gram."""
     names = [c for c in rows.columns if c != "lang"]
-    ranked = rows.withColumn("by", by).withColumn("rank", F.expr("row_number() OVER (PARTITION BY lang ORDER BY by DESC, gram)")).where(F.col("rank") <= bound)
-    got = ranked.select("lang", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names)).toArrow()  # bound rows a language
+    got = rows.select("lang", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names)).toArrow()  # a shard, or each language's letters
     lang = got.column("lang").to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, object)
+    gram = got.column("gram").to_numpy()
     out = {}
     for x in sorted(set(lang.tolist())):
         own = np.flatnonzero(lang == x)
-        own = own[np.argsort(got.column("gram").to_numpy()[own])]
+        own = own[np.argsort(gram[own])]
         out[x] = {c: got.column(c).to_numpy()[own] for c in names}
     return out
 
@@ -144,15 +147,32 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """By language: (sorted n-gram hashes, log-probabilities, log backoff weights) of trigrams, bigrams, letters."""
+    """By language: (sorted n-gram hashes, log-probabilities, log backoff weights) of trigrams, bigrams, letters.
+
+    orders is empty where there are several shards: these are made of counts when they are asked for, one at a time."""
 
     langs: list[str]
     orders: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
     temperature: float = 1.0
     ceiling: list[float] = field(default_factory=list)
+    shards: int = 1
+    counts: DataFrame | None = None
+
+    def part(self, k: int) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """What shard k holds of each language."""
+        if self.shards == 1:
+            return self.orders
+        three, two, one = estimates(self.counts)
+        first, last = (F.expr(f"{letter} % {self.shards} = {k}") for letter in (f"shiftright(gram, {_B})", f"(gram & {_MASK})"))
+        middle = F.expr(f"(shiftright(gram, {_B}) & {_MASK}) % {self.shards} = {k}")
+        return kneser_ney(_arrays(three.where(middle)), _arrays(two.where(first | last)), _arrays(one)).orders
+
+    def tables(self, k: int = 0) -> list[Table]:
+        return _tables(self.part(k))
 
-    def tables(self) -> list[Table]:
-        return [_table([self.orders[j] for j in range(a, min(a + TOGETHER, len(self.langs)))]) for a in range(0, len(self.langs), TOGETHER)]
+
+def _tables(orders: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> list[Table]:
+    return [_table(orders[a : a + TOGETHER]) for a in range(0, len(orders), TOGETHER)]
 
 
 def _table(own: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> Table:
@@ -173,11 +193,14 @@ def _table(own: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> Table:
 
 
 def kneser_ney(three: dict, two: dict, one: dict, discount: float = DISCOUNT) -> Model:
-    """Models of what `_most` gives of `estimates`."""
-    langs = sorted(three, key=lambda s: s.encode("utf-8"))
+    """Models of what `_arrays` gives of `estimates`. A language without a trigram or bigram in this shard has its letters only."""
+    langs = sorted(one, key=lambda s: s.encode("utf-8"))
     model = Model(langs, [])
+    none = np.zeros(0, np.int64)
     for lang in langs:
-        t, b, u = three[lang], two[lang], one[lang]
+        t = three.get(lang) or dict.fromkeys(("gram", "n", "total", "kinds"), none)
+        b = two.get(lang) or dict.fromkeys(("gram", "cont", "row", "kinds1", "total", "kinds"), none)
+        u = one[lang]
         with np.errstate(divide="ignore", invalid="ignore"):
             cont1 = u["cont1"].astype(float)
             seen = max((cont1 > 0).sum(), 1)
@@ -190,7 +213,7 @@ def kneser_ney(three: dict, two: dict, one: dict, discount: float = DISCOUNT) ->
             w2 = np.where(b["total"] > 0, discount * b["kinds"] / np.maximum(b["total"], 1), 1.0)
             at, hit = _find(b["gram"], t["gram"] & ((1 << 2 * _B) - 1))
             atl, hitl = _find(u["gram"], t["gram"] & _MASK)
-            low = np.where(hit & (len(p2) > 0), p2[at] if len(p2) else 0, np.where(hitl, p1[atl], np.exp(FLOOR)))
+            low = np.where(hit, p2[at] if len(p2) else 0, np.where(hitl, p1[atl], np.exp(FLOOR)))
             p3 = np.maximum(t["n"] - discount, 0) / t["total"] + discount * t["kinds"] / t["total"] * low
         logs = [np.log(np.maximum(p, np.exp(FLOOR))).astype(np.float32) for p in (p3, p2, p1)]
         logs[1] = np.where(b["cont"] > 0, logs[1], np.nan).astype(np.float32)  # held as a context only
@@ -198,8 +221,8 @@ def kneser_ney(three: dict, two: dict, one: dict, discount: float = DISCOUNT) ->
     return model
 
 
-def entropies(texts: list[str], tables: list[Table]) -> np.ndarray:
-    """Mean negative log-probability of each text's letters and word ends under each language."""
+def entropies(texts: list[str], tables: list[Table], shard: int = 0, shards: int = 1) -> np.ndarray:
+    """Mean negative log-probability of each text's letters and word ends under each language; of several shards, one's part of that sum."""
     n_langs = sum(t.logs[0].shape[1] for t in tables)
     out = np.zeros((len(texts), n_langs))
     for a, b in slices(list(map(len, texts)), SLICE):
@@ -207,6 +230,7 @@ def entropies(texts: list[str], tables: list[Table]) -> np.ndarray:
         full = np.concatenate([[0], c, [0]]).astype(np.uint32)
         used = (c != 0) | (full[2:] != 0)
         g = grams(full)  # position i scores full[i + 2], that is c[i + 1]; text k owns s[k] .. s[k + 1]
+        mine = used & ((g >> _B & _MASK) % shards == shard) if shards > 1 else used
         total = np.zeros((b - a, n_langs))
         for lo in range(0, len(g), SLICE):  # one very long text is scored in parts
             part = slice(lo, lo + SLICE)
@@ -215,9 +239,9 @@ def entropies(texts: list[str], tables: list[Table]) -> np.ndarray:
             cuts = np.concatenate([[] if len(inside) and s[inside[0]] == lo else [0], s[inside] - lo]).astype(np.int64)
             of = np.concatenate([[] if len(inside) and s[inside[0]] == lo else [np.searchsorted(s, lo, "right") - 1], inside]).astype(np.int64)
             for t in tables:
-                scored = t.scores(g[part])
-                scored[~used[part]] = 0
-                w = scored.shape[1]
+                w = t.logs[0].shape[1]
+                scored = np.zeros((len(g[part]), w), np.float32)
+                scored[mine[part]] = t.scores(g[part][mine[part]])
                 total[of, at : at + w] += np.add.reduceat(scored, cuts, axis=0, dtype=np.float64)
                 at += w
         n = np.maximum(np.add.reduceat(used.astype(np.int64), s), 1)
@@ -225,58 +249,97 @@ def entropies(texts: list[str], tables: list[Table]) -> np.ndarray:
     return out
 
 
-def _tables_here(name: str, model: Model) -> list[Table]:
+def _tables_here(name: str, orders: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> list[Table]:
     own = worker_tables("language")
     if name not in own:
         own.clear()
-        own[name] = model.tables()
+        own[name] = _tables(orders)
     return own[name]
 
 
+def _scored(docs: DataFrame, model: Model, finish: Callable[[pa.RecordBatch, list[str], np.ndarray], pa.RecordBatch], schema: StructType) -> DataFrame:
+    """finish(batch, texts, entropies under each language) of all rows of docs, which needs text. Each shard is a pass of its own; between
+    passes the rows are written with what they have so far, so that a worker holds one shard."""
+    kept, so_far = docs.columns, f"entropies_{uuid.uuid4().hex}"
+    carried, before = StructType([*docs.schema.fields, StructField(so_far, BinaryType())]), None
+    for k in range(model.shards):
+        shared, name, last = docs.sparkSession.sparkContext.broadcast(model.part(k)), uuid.uuid4().hex, k + 1 == model.shards
+
+        def run(batches: Iterator[pa.RecordBatch], k: int = k, shards: int = model.shards, shared=shared, name: str = name, last: bool = last) -> Iterator[pa.RecordBatch]:
+            tables = _tables_here(name, shared.value)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(at, 2000)
+                    texts = [t or "" for t in batch.column("text").to_pylist()]
+                    h = entropies(texts, tables, k, shards)
+                    if k:
+                        h += np.frombuffer(b"".join(batch.column(so_far).to_pylist())).reshape(h.shape)
+                        batch = batch.select(kept)
+                    if last:
+                        yield finish(batch, texts, h)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, to_arrow_schema(carried), strict=False)), pa.array([r.tobytes() for r in h], pa.binary())], schema=to_arrow_schema(carried))
+
+        docs = docs.mapInArrow(run, schema if last else carried)
+        if not last:
+            docs = materialise(docs, "entropies")
+            shared.unpersist()
+            if before is not None:
+                discard(before)
+            before = docs
+    return docs
+
+
 def train(docs: DataFrame) -> Model:
-    """Model of rows of docs(doc_id, text, lang): every row's trigrams count; rows with null lang or text teach nothing."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    """Model of rows of docs(doc_id, text, lang): every row's trigrams count, and temperature and ceilings are fitted on every row;
+    rows with null lang or text teach nothing."""
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "grams")
-    n_langs = counts.agg(F.countDistinct("lang")).first()[0]
-    if not n_langs:
+    n_grams = counts.count()
+    if not n_grams:
         return Model([], [])
-    bound = max(1, MAX_GRAMS // n_langs)
-    three, two, one = estimates(counts)
-    model = kneser_ney(_most(three, F.col("n"), bound), _most(two, F.greatest(F.coalesce("total", F.lit(0)), F.coalesce("cont", F.lit(0))), bound), _most(one, F.coalesce("cont1", F.lit(0)), bound))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_GRAMS numbers of each order
-    langs, name = {x: j for j, x in enumerate(model.langs)}, uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables_here(name, shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            h = entropies(texts, tables)
-            truth = [langs[x] for x in batch.column("lang").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(truth, pa.int32()), pa.array(chars.letters(texts)), pa.array([r.tobytes() for r in h], pa.binary())], ["truth", "letters", "h"])
-
-    sample = rows.where(hashed_share(F.col("doc_id"), CALIBRATION_ROWS, rows.count()))
-    got = sample.select("text", "lang").mapInArrow(run, "truth int, letters long, h binary").toArrow()  # a number a language for each row of the sample
-    order = np.lexsort((got.column("letters").to_numpy(), got.column("truth").to_numpy()))
-    h = np.frombuffer(b"".join(got.column("h").to_pylist()), np.float64).reshape(-1, len(model.langs))[order]
-    letters, truth = got.column("letters").to_numpy()[order], got.column("truth").to_numpy()[order]
-    ok = letters > 0
-    grid = (0.5, 1, 2, 4, 8, 16, 32, 64)
-    model.temperature = float(min(grid, key=lambda t: _loss(h[ok], truth[ok], t)))
-    for j in range(len(model.langs)):
-        own = h[ok & (truth == j) & (letters > 20), j]
-        model.ceiling.append(float(np.quantile(own, REJECT) + MARGIN) if len(own) else 12.0)
+    shards = -(-n_grams // MAX_GRAMS)
+    if shards == 1:
+        model = kneser_ney(*map(_arrays, estimates(counts)))
+    else:
+        langs = sorted((r[0] for r in counts.select("lang").distinct().collect()), key=lambda s: s.encode("utf-8"))
+        model = Model(langs, [], shards=shards, counts=counts)
+    calibrate(rows, model)
     return model
 
 
+def calibrate(rows: DataFrame, model: Model) -> None:
+    """Set model's temperature, the one of TEMPERATURES with the least loss over all rows(text, lang) with letters, and each language's
+    ceiling from all its rows with over 20 letters. A language without one has the ceiling 12; rows of a language without n-grams have no letters."""
+    langs, ts = {x: j for j, x in enumerate(model.langs)}, range(len(TEMPERATURES))
+
+    def finish(batch: pa.RecordBatch, texts: list[str], h: np.ndarray) -> pa.RecordBatch:
+        truth = np.array([langs.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+        letters = chars.letters(texts)
+        ok = (letters > 0) & (truth >= 0)
+        h, truth, letters = h[ok], truth[ok], letters[ok]
+        lost = [np.rint(_losses(h, truth, t) / LOSS_UNIT).astype(np.int64) for t in TEMPERATURES]
+        own = pa.array(order_bits(h[np.arange(len(h)), truth]), mask=letters <= 20)
+        return pa.RecordBatch.from_arrays([pa.array(truth), own, *map(pa.array, lost)], ["truth", "own", *(f"loss{i}" for i in ts)])
+
+    fields = ", ".join(["truth long", "own long", *(f"loss{i} long" for i in ts)])
+    seen = materialise(_scored(rows, model, finish, StructType.fromDDL(fields)), "calibration")
+    loss = seen.agg(*(F.coalesce(F.sum(F.col(f"loss{i}").cast("decimal(20, 0)")), F.lit(0)) for i in ts)).first()
+    model.temperature = float(TEMPERATURES[min(ts, key=lambda i: loss[i])])
+    found = quantiles(seen.where("own IS NOT NULL"), "truth", "own", [REJECT])
+    model.ceiling = [found[j][0] + MARGIN if j in found else 12.0 for j in range(len(model.langs))]
+    discard(seen)
+
+
 def _posterior(h: np.ndarray, temperature: float) -> np.ndarray:
     z = -temperature * (h - h.min(1, keepdims=True))
     e = np.exp(z)
     return e / e.sum(1, keepdims=True)
 
 
-def _loss(h: np.ndarray, truth: np.ndarray, t: float) -> float:
-    return float(-np.log(np.maximum(_posterior(h, t)[np.arange(len(h)), truth], 1e-12)).mean()) if len(h) else 0.0
+def _losses(h: np.ndarray, truth: np.ndarray, t: float) -> np.ndarray:
+    return -np.log(np.maximum(_posterior(h, t)[np.arange(len(h)), truth], 1e-12))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -284,31 +347,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and texts without a letter are `und` with score 0 and rejected; so is everything under a model without
     languages. Ties go to the language first by code point. A clashing lang_* column of docs is replaced."""
-    name = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS, see train
     docs = docs.drop("lang_pred", "lang_score", "lang_entropy", "lang_rejected")
     schema = StructType(docs.schema.fields + [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_entropy", DoubleType()), StructField("lang_rejected", BooleanType())])
     arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        tables = _tables_here(name, m)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                n = len(texts)
-                lang, score, best, bad = np.full(n, "und", object), np.zeros(n), np.zeros(n), np.ones(n, bool)
-                if m.langs:
-                    h, ok = entropies(texts, tables), chars.letters(texts) > 0
-                    k = h.argmin(1)
-                    lang[ok] = np.array(m.langs, object)[k[ok]]
-                    score[ok] = _posterior(h, m.temperature).max(1)[ok]
-                    best = h.min(1)
-                    bad = ~ok | (best > np.array(m.ceiling)[k])
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), pa.array(lang, pa.string()), pa.array(score), pa.array(best), pa.array(bad)], schema=arrow)
-
-    return docs.mapInArrow(run, schema)
+    langs, temperature, ceiling = model.langs, model.temperature, model.ceiling
+
+    def finish(batch: pa.RecordBatch, texts: list[str], h: np.ndarray) -> pa.RecordBatch:
+        n = len(texts)
+        lang, score, best, bad = np.full(n, "und", object), np.zeros(n), np.zeros(n), np.ones(n, bool)
+        if langs:
+            ok = chars.letters(texts) > 0
+            k = h.argmin(1)
+            lang[ok] = np.array(langs, object)[k[ok]]
+            score[ok] = _posterior(h, temperature).max(1)[ok]
+            best = h.min(1)
+            bad = ~ok | (best > np.array(ceiling)[k])
+        return pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), pa.array(lang, pa.string()), pa.array(score), pa.array(best), pa.array(bad)], schema=arrow)
+
+    return _scored(docs, model, finish, schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

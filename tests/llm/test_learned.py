@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import chars, language, quality, toxicity
-from quire.llm.common import held_out
+from quire.llm.common import held_out, order_bits, quantiles
 
 SYLLABLES = {"en": "the and ing ion ent ther wh ou st".split(), "fr": "le é eau tion oi qu è ment ai".split(), "ru": "при ов ого ние ста ть во ен".split()}
 
@@ -99,6 +99,55 @@ def test_language_without_training_rows(spark):
     assert language.identify(spark.createDataFrame([(1, "text")], "doc_id long, text string"), model).first()["lang_pred"] == "und"
 
 
+def test_language_is_calibrated_on_every_row(spark):
+    rng = random.Random(5)
+    rows = [(i, words(rng, lang := rng.choice(list(SYLLABLES)), rng.randint(3, 12)), lang) for i in range(5200)]
+    rows += [(9001, "12 34", "xx"), (9002, "", "en"), (9003, "12 34", "fr"), (9004, "the", "en")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    assert model.langs == ["en", "fr", "ru"]
+    rows = [r for r in rows if any(map(str.isalpha, r[1]))]
+    h, letters = language.entropies([t for _, t, _ in rows], model.tables()), chars.letters([t for _, t, _ in rows])
+    truth = np.array([model.langs.index(x) for _, _, x in rows])
+    for j in range(3):
+        assert model.ceiling[j] == pytest.approx(np.quantile(h[(truth == j) & (letters > 20), j], language.REJECT) + language.MARGIN, abs=1e-12)
+
+    def loss(t):
+        p = np.exp(-t * h) / np.exp(-t * h).sum(1, keepdims=True)
+        return -np.log(np.maximum(p[np.arange(len(h)), truth], 1e-12)).sum()
+
+    assert model.temperature == min(language.TEMPERATURES, key=loss)
+
+
+def test_languages_keep_every_gram_beyond_a_shard(spark, tongues, monkeypatch):
+    df = spark.createDataFrame(tongues + [(900, "đ đe đa", "vi")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(i, t) for i, t, _ in tongues] + [(1000, None), (1001, ""), (1003, "日本語の文章です"), (1004, "đa the ring " * 9000)], "doc_id long, text string")
+    columns = ("lang_pred", "lang_score", "lang_entropy", "lang_rejected")
+    whole = language.train(df)
+    want = {r["doc_id"]: [r[c] for c in columns] for r in language.identify(asked, whole).collect()}
+    monkeypatch.setattr(language, "MAX_GRAMS", 300)
+    cut = language.train(df)
+    assert cut.shards > 2 and cut.langs == whole.langs and cut.temperature == whole.temperature and np.allclose(cut.ceiling, whole.ceiling, rtol=1e-9)
+    held = [sum(len(cut.part(k)[j][0][0]) for k in range(cut.shards)) for j in range(len(cut.langs))]
+    assert held == [len(whole.orders[j][0][0]) for j in range(len(cut.langs))]
+    got = language.identify(asked, cut).collect()
+    assert len(got) == len(want)
+    for r in got:
+        a, b = [r[c] for c in columns], want[r["doc_id"]]
+        assert a[::3] == b[::3] and np.allclose(a[1:3], b[1:3], rtol=1e-6), r["doc_id"]
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    values = {0: rng.normal(size=999), 1: np.array([-0.0, 0.0, -1e-300, 5.0, 5.0]), 7: np.array([3.25])}
+    rows = [(k, int(b)) for k, x in values.items() for b in order_bits(x)]
+    qs = [0.0, 0.05, 0.5, 0.999, 1.0]
+    got = quantiles(spark.createDataFrame(rows, "k long, v long").repartition(7), "k", "v", qs)
+    assert set(got) == set(values)
+    for k, x in values.items():
+        assert np.allclose(got[k], np.quantile(x, qs), rtol=1e-12, atol=0)
+    assert quantiles(spark.createDataFrame([], "k long, v long"), "k", "v", qs) == {}
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows, marks = [], []
