@@ -2,31 +2,38 @@
 
 Features are counts over the whole text: transitions between character classes (upper, lower, digit, blank, line end and
 kinds of punctuation), word-length histogram, shares of distinct words and of words that repeat in a row, of upper case and of marks, and lengths. A logistic model minimises
-pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)): where the second part falls below zero the step
-goes against its gradient instead (Kiryo et al. 2017). Positives are training rows labelled good; unlabelled are rows of the web
+pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)): a step that takes the second part below zero is
+halved (after Kiryo et al. 2017, who go against its gradient). With the logistic loss the sum is convex, so Newton's method finds the
+minimiser in few rounds. Positives are training rows labelled good; unlabelled are all training rows of the web
 text. The class prior pi is estimated from a first classifier of positives against unlabelled rows: the lower end of
 the unlabelled rows' odds ratio over the positives (Elkan and Noto 2008, with a quantile for robustness).
 
-Fitting uses bounded samples, MAX_POSITIVE and MAX_UNLABELLED rows; scoring reads every row. Scores are
-calibrated so that 0.7 is the threshold at which the model says good: rows below sit on the negative side.
+Fitting and scoring read every row: features are written once, each round sums risk, gradient and second derivatives in the tasks and by
+a shuffle, and the driver gets these sums. Scores are calibrated so that 0.7 is the threshold at which the model says good: rows below sit on the negative side.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quire.llm.common import hashed_share, held_out, release, slices, table, worker_tables
+from quire.llm.common import discard, held_out, materialise, order_bits, quantiles, slices, table, worker_tables
 
-MAX_POSITIVE = 20_000
-MAX_UNLABELLED = 20_000
 THRESHOLD = 0.7
+#: Newton's rounds and halvings of a step at most; it ends where a step would lower the risk by less than TOLERANCE.
+ROUNDS, HALVINGS, TOLERANCE = 20, 8, 1e-6
+#: Weight of half the squared weights: DECAY at least, and as many rows' worth as PRIOR_ROWS, so that small tables don't overfit.
+DECAY, PRIOR_ROWS = 1e-4, 10
+#: Doubles in a row of partial sums.
+CHUNK = 4096
 SLICE = 1_000_000
 _K = 16
 LONGEST = 12
@@ -136,92 +143,161 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 40, rate: float = 0.03, decay: float = 1e-4, seed: int = 7, balance: bool = False) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative PU risk's minimiser, by Adam over minibatches.
-
-    balance: weigh the two sides of the loss alike and take the plain risk (a classifier of p against u)."""
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
-    steps = max(1, len(u) // 1000)
-    for _ in range(epochs):
-        ip, iu = rng.permutation(len(p)), rng.permutation(len(u))
-        for s in range(steps):
-            xp, xu = p[ip[s * len(p) // steps : max((s + 1) * len(p) // steps, s * len(p) // steps + 1)]], u[iu[s::steps]]
-            sp, su = _sigmoid(xp @ w + b), _sigmoid(xu @ w + b)
-            add = lambda x, d: np.append(x.T @ d, d.sum()) / max(len(x), 1)
-            if balance:
-                g = add(xp, sp - 1) + add(xu, su)
-            else:
-                pos = prior * add(xp, sp - 1)
-                neg = add(xu, su) - prior * add(xp, sp)
-                risk = np.logaddexp(0, xu @ w + b).mean() - prior * np.logaddexp(0, xp @ w + b).mean()
-                g = pos + neg if risk >= 0 else -neg
-            g[:-1] += decay * w
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
-    return w, b
-
-
-def class_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives in u: u's density over p's is at least pi everywhere p lives, and equals it where negatives are absent."""
-    w, b = nn_pu(p, u, 0.5, epochs=25, balance=True)
-    zp, zu = p @ w + b, u @ w + b
-    best = 1.0
-    for q in np.linspace(0.05, 0.6, 23):  # upper tails of the positives: there the unlabelled hold positives only
-        cut = np.quantile(zp, q)
-        best = min(best, float((zu >= cut).mean() / max((zp >= cut).mean(), 1e-9)))
-    return float(np.clip(best, 0.05, 0.99))
+def _standard(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features of a batch of _features, and a column of ones."""
+    x = np.ones((batch.num_rows, N_FEATURES + 1), np.float32)
+    x[:, :-1] = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
+    x[:, :-1] -= mean.astype(np.float32)
+    x[:, :-1] /= scale.astype(np.float32)
+    return np.clip(x, -6, 6, out=x)
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """Model of float32 samples, which are standardised in place."""
-    if not len(positives) or not len(unlabelled):
-        n = N_FEATURES
-        return Model(np.zeros(n), np.ones(n), np.zeros(n), 1.0, 0.5, 0.0)
-    mean, scale = unlabelled.mean(0, dtype=np.float64), unlabelled.std(0, dtype=np.float64)
-    scale = np.where(scale > 1e-6, scale, 1.0)
-    for x in (positives, unlabelled):  # in place: float32 throughout
-        x -= mean.astype(np.float32)
-        x /= scale.astype(np.float32)
-        np.clip(x, -6, 6, out=x)
-    p, u = positives, unlabelled
-    prior = class_prior(p, u)
-    w, b = nn_pu(p, u, prior)
-    return Model(mean, scale, w, b, prior, 0.0)
+def _features(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(good, x): whether a row's doc_id is in good(doc_id), and its features; of all rows with a text."""
+    schema = StructType([docs.schema["doc_id"], StructField("x", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, x in batch_features(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+
+    own = docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, schema)  # texts stay where they are; features travel
+    return own.join(good.select("doc_id", F.lit(True).alias("good")), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "x")
+
+
+def _total(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Sum of partial(batch), vectors of one length, over all batches of rows, in an order that reruns share."""
+    schema = "chunk int, task int, part binary"
+
+    def emit(totals: dict[int, np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
+        for chunk, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "task", "part"])
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("quality")
+        total = sum(partial(batch) for batch in batches if batch.num_rows)
+        if not np.isscalar(total):
+            yield from emit({i // CHUNK: total[i : i + CHUNK] for i in range(0, len(total), CHUNK)}, TaskContext.get().partitionId())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                totals[chunk] = totals.get(chunk, 0) + np.frombuffer(part)
+        yield from emit(totals, 0)
+
+    parts = rows.mapInArrow(here, schema).repartition(8, "chunk").sortWithinPartitions("chunk", "task")
+    got = sorted((r["chunk"], bytes(r["part"])) for r in parts.mapInArrow(summed, schema).collect())  # one vector
+    return np.frombuffer(b"".join(part for _, part in got))
 
 
-def _gathered(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded sample of rows, computed in the tasks that read them."""
+@dataclass
+class Sums:
+    """Of all rows: how many, of these good, means and deviations of features."""
+
+    n: int
+    n_good: int
+    mean: np.ndarray
+    scale: np.ndarray
+
+
+def moments(rows: DataFrame) -> Sums | None:
+    def partial(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+        good = batch.column("good").to_numpy(zero_copy_only=False)
+        return np.concatenate([[len(x), good.sum()], x.sum(0), (x * x).sum(0)])
+
+    got = _total(rows, partial)
+    if not len(got) or not got[1]:
+        return None
+    n, mean = got[0], got[2 : 2 + N_FEATURES] / got[0]
+    scale = np.sqrt(np.maximum(got[2 + N_FEATURES :] / n - mean * mean, 0))
+    return Sums(int(n), int(got[1]), mean, np.where(scale > 1e-6, scale, 1.0))
+
+
+def minimise(rows: DataFrame, of: Sums, prior: float | None) -> np.ndarray:
+    """Weights, the bias last, that minimise over all rows the non-negative PU risk; without a prior, the risk of a classifier of good rows
+    against all, the two sides weighing alike. Half the squared weights times a decay are added."""
+    d = N_FEATURES + 1
+    upper = np.triu_indices(d)
+    # log(1 + e^-z) is log(1 + e^z) - z: every loss is a weight of log(1 + e^z), and good rows add a multiple of z
+    every, extra, linear = 1 / of.n, 0.0 if prior else 1 / of.n_good, -(prior or 1.0) / of.n_good
+    decay = np.append(np.full(N_FEATURES, max(DECAY, PRIOR_ROWS / of.n)), 0.0)
+    mean, scale = of.mean, of.scale
+
+    def losses(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        x, good = _standard(batch, mean, scale), batch.column("good").to_numpy(zero_copy_only=False).astype(np.float64)
+        z = (x @ w.astype(np.float32)).astype(np.float64)
+        return x, good, z, np.logaddexp(0, z)
+
+    def bends(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and second derivatives of the risk."""
+
+        def partial(batch: pa.RecordBatch) -> np.ndarray:
+            x, good, z, _ = losses(batch, w)
+            s, weight = _sigmoid(z), every + extra * good
+            slope, bend = (weight * s + linear * good).astype(np.float32), (weight * s * (1 - s)).astype(np.float32)
+            return np.concatenate([x.T @ slope, (x.T @ (x * bend[:, None]))[upper]]).astype(np.float64)
+
+        got, h = _total(rows, partial), np.zeros((d, d))
+        h[upper] = got[d:]
+        return got[:d] + decay * w, h + np.triu(h, 1).T + np.diag(decay + 1e-9)
+
+    def risks(ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The risk at each column of ws, and its part that may not be negative."""
+
+        def partial(batch: pa.RecordBatch) -> np.ndarray:
+            _, good, z, plus = losses(batch, ws)
+            return np.concatenate([(every + extra * good) @ plus + linear * (good @ z), plus.sum(0), good @ plus])
+
+        risk, plus, of_good = _total(rows, partial).reshape(3, -1)
+        return risk + decay @ (ws * ws) / 2, plus / of.n - (prior or 0.0) * of_good / of.n_good
+
+    w = np.zeros(d)
+    for _ in range(ROUNDS):
+        gradient, h = bends(w)
+        step = np.linalg.solve(h, gradient)
+        if gradient @ step / 2 < TOLERANCE:
+            break
+        ts = np.append(0.5 ** np.arange(HALVINGS), 0.0)
+        risk, part = risks(w[:, None] - step[:, None] * ts)
+        best = int(np.argmin(np.where(part >= 0, risk, np.inf)))
+        if not risk[best] < risk[-1] - TOLERANCE:  # else at the border of the risk's part below zero
+            break
+        w = w - step * ts[best]
+    return w
+
+
+def class_prior(rows: DataFrame, of: Sums) -> float:
+    """Share of positives in all rows: their density over the positives' is at least pi everywhere positives live, and equals it where negatives are absent."""
+    w, mean, scale = minimise(rows, of, None), of.mean, of.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("quality")
         for batch in batches:
-            for _, _, x in batch_features(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
-
-    got = rows.select("text").mapInArrow(run, "x binary").toArrow().column("x")  # the sample's bound x N_FEATURES x 4 bytes
-    x = np.empty((sum(len(b.as_buffer()) for b in got) // (4 * N_FEATURES), N_FEATURES), np.float32)
-    at = 0
-    for b in got:
-        own = np.frombuffer(b.as_buffer(), np.float32).reshape(-1, N_FEATURES)
-        x[at : at + len(own)] = own
-        at += len(own)
-    return x[np.lexsort(x[:, -8:].T)]  # rows in an order that reruns share
-
-
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """docs(doc_id, text), labels(doc_id, quality): both already without held-out rows. Sample sizes are bounds in expectation (a hash decides)."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    docs = docs.where("text IS NOT NULL").select("doc_id", "text")
-    some = good.where(hashed_share(F.col("doc_id"), max_positive, good.count()))
-    positives = _gathered(docs.join(F.broadcast(some), "doc_id", "left_semi"))  # max_positive ids
-    unlabelled = _gathered(docs.where(hashed_share(F.col("doc_id"), max_unlabelled, docs.count(), 1)))
-    model = fit(positives, unlabelled)
-    del positives, unlabelled
-    release()
-    return model
+            z = (_standard(batch, mean, scale) @ w.astype(np.float32)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("good").cast(pa.int64()), pa.array(order_bits(z))], ["good", "z"])
+
+    raw = materialise(rows.mapInArrow(run, "good long, z long"), "raw")
+    cuts = quantiles(raw.where("good = 1"), "good", "z", np.linspace(0.05, 0.6, 23).tolist())[1]  # upper tails of the positives: there the unlabelled hold positives only
+    over = [F.col("z") >= int(c) for c in order_bits(np.array(cuts))]
+    got = raw.agg(*(F.sum(F.when(c, k).otherwise(0)) for c in over for k in (F.lit(1), F.col("good")))).first()
+    discard(raw)
+    best = min([1.0, *(got[i] / of.n / max(got[i + 1] / of.n_good, 1e-9) for i in range(0, len(got), 2))])
+    return float(np.clip(best, 0.05, 0.99))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """docs(doc_id, text), labels(doc_id, quality): both already without held-out rows. Every row with a text counts."""
+    rows = materialise(_features(docs, labels.where("quality = 1").select("doc_id").distinct()), "features")
+    of = moments(rows)
+    if of is None:
+        n = N_FEATURES
+        return Model(np.zeros(n), np.ones(n), np.zeros(n), 1.0, 0.5, 0.0)
+    prior = class_prior(rows, of)
+    w = minimise(rows, of, prior)
+    discard(rows)
+    return Model(of.mean, of.scale, w[:-1], w[-1], prior, 0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -173,6 +173,34 @@ def test_quality(spark):
     assert quality.score(odd, blank).count() == 4
 
 
+def test_quality_is_fitted_on_every_row(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["the", "ring", "and", "Sing.", "12"]) for _ in range(rng.randint(1, 5))) + (" ##!" if i % 4 == 0 else "")) for i in range(21_000)] + [(None, "no id"), (30_000, None)]
+    marks = [(i, 1) for i in range(21_000) if i % 4 and i % 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = quality.train(docs, spark.createDataFrame(marks, "doc_id long, quality int"))
+    import pyarrow as pa
+
+    rows = [r for r in rows if r[1] is not None]
+    x = np.concatenate([x for _, _, x in quality.batch_features(pa.array([t for _, t in rows]))]).astype(np.float64)
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-6, atol=1e-9)
+    good = np.isin([-1 if i is None else i for i, _ in rows], [i for i, _ in marks])
+    x = np.clip((x - model.mean) / model.scale, -6, 6)
+    assert 0.7 < model.prior < 0.8
+
+    def risk(v):
+        z = x @ v[:-1] + v[-1]
+        below = np.logaddexp(0, z).mean() - model.prior * np.logaddexp(0, z[good]).mean()
+        return model.prior * np.logaddexp(0, -z[good]).mean() + max(0, below) + max(quality.DECAY, quality.PRIOR_ROWS / len(x)) * (v[:-1] ** 2).sum() / 2, below
+
+    v = np.append(model.w, model.b)
+    least, below = risk(v)
+    assert below >= 0
+    for _ in range(30):
+        step = np.random.default_rng(rng.randrange(1 << 30)).normal(size=len(v))
+        assert risk(v + 0.01 * step)[0] > least - 1e-6
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = ["Hello world. Hello world.", "", "ALL CAPS!!\nx", "é ü"]
     import pyarrow as pa
