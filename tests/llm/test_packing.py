@@ -52,5 +52,22 @@ def test_tables_are_bounded_by_bytes():
     assert len(table) + len(table.older) < 600
 
 
+def test_new_words_of_many_texts_are_encoded_together():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    own, plain = packing.ChunkTokenizer(path), Tokenizer.from_file(path)
+    rng = random.Random(7)
+    syllables = ["ba", "qu", "É", "ßo", "th", "X", "çö", "ing", "'s", "'LL", ",", "..", "12", "-", "<|", "日", "\u0307"]
+    texts = [" ".join("".join(rng.choices(syllables, [9] * 8 + [1] * 9, k=rng.randint(1, 6))) for _ in range(40)) for _ in range(500)]
+    runs, ids = [], own._ids
+    own._ids = lambda some: runs.append(len(some)) or ids(some)
+    before, packing.MAX_BYTES = packing.MAX_BYTES, 300_000  # the table turns over on the way
+    try:
+        for t, got in zip(texts, own.encode_all(texts), strict=True):
+            assert np.frombuffer(got, f"<u{own.width}").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    finally:
+        packing.MAX_BYTES = before
+    assert len(runs) <= 2  # not one for each new word
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
