@@ -27,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, materialise, slices, table, worker_tables
+from quire.llm.common import discard, materialise, release, slices, table, worker_tables
 
 K = 5
 #: A link needs 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 80
 EPS = 1 - PERCENT / 100
 MIN_DIMS, MAX_DIMS = 128, 4096
-#: Signatures in one exchange block's partition; members up to which a region's pairs are listed; bytes of text a slice.
-PER_PART = 1_500_000
+#: Signatures in one exchange block's partition, and those of them that are sorted at a time; members up to which a region's pairs are listed; bytes of text a slice.
+PER_PART, RUN = 1_500_000, 150_000
 SMALL = 4
-SLICE = 1_000_000
+SLICE = 250_000
 #: Ids of documents to compare are broadcast up to this number; beyond, the texts are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Members of a region that are compared in one task, at most twice as many.
@@ -194,15 +194,19 @@ def _sign(parts: int):
     def block(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         nodes, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
         keys = np.concatenate([h[2] for h in held])
-        which = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-        part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        which = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[2]) for h in held])
+        held.clear()
+        part = keys >> _U(32)
+        part *= _U(parts)
+        part = (part >> _U(32)).astype(np.int32)
+        keys = keys.astype("<u4")  # the low bits
         order = np.argsort(part, kind="stable")
         keys, which, part = keys[order], which[order], part[order]
         cuts = np.flatnonzero(np.diff(part)) + 1
         rows = []
         for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
             own, small = np.unique(which[a:b], return_inverse=True)
-            rows.append((int(part[a]), (keys[a:b] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), small.astype("<u4").tobytes(), nodes[own].tobytes(), sizes[own].tobytes()))
+            rows.append((int(part[a]), keys[a:b].tobytes(), small.astype("<u4").tobytes(), nodes[own].tobytes(), sizes[own].tobytes()))
         n = len(rows)
         cols = [pa.nulls(n, k) for k in kinds[:4]] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[4:])]
         return pa.RecordBatch.from_arrays(cols, names)
@@ -230,6 +234,7 @@ def _sign(parts: int):
                     held, seen, size = [], set(), 0
         if held:
             yield block(held)
+        release()  # workers wait beside later stages
 
     return run
 
@@ -240,14 +245,25 @@ REGIONS = "region long, a long, b long"
 
 def _regions(pdf: pd.DataFrame) -> pd.DataFrame:
     """Documents of one part that share a signature: all pairs (a < b) of a small region; of a larger one, pairs with the
-    pivot and a row per member (region, a)."""
+    pivot and a row per member (region, a). Signatures are sorted in runs of some RUN, by ranges of their keys."""
+    blocks = [(np.frombuffer(k, "<u4"), np.frombuffer(w, "<u4"), np.frombuffer(n, np.int64), np.frombuffer(s, np.int64)) for k, w, n, s in zip(pdf["keys"], pdf["which"], pdf["nodes"], pdf["sizes"], strict=True)]
+    runs = -(-sum(len(b[0]) for b in blocks) // RUN) or 1
+    edges = [(r << 32) // runs for r in range(runs + 1)]
+    return pd.concat([_regions_between(blocks, low, high) for low, high in zip(edges, edges[1:], strict=False)]).drop_duplicates()
+
+
+def _regions_between(blocks: list[tuple[np.ndarray, ...]], low: int, high: int) -> pd.DataFrame:
+    """The regions of the signatures whose keys are in [low, high)."""
     keys, nodes, sizes = [], [], []
-    for k, w, n, s in zip(pdf["keys"], pdf["which"], pdf["nodes"], pdf["sizes"], strict=True):
-        which = np.frombuffer(w, "<u4")
-        keys.append(np.frombuffer(k, "<u4"))
-        nodes.append(np.frombuffer(n, np.int64)[which])
-        sizes.append(np.frombuffer(s, np.int64)[which])
+    for k, w, n, s in blocks:
+        at = np.flatnonzero((k >= np.uint32(low)) & (k <= np.uint32(high - 1)))
+        which = w[at]
+        keys.append(k[at])
+        nodes.append(n[which])
+        sizes.append(s[which])
     key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
+    if not len(key):
+        return pd.DataFrame({"region": [], "a": [], "b": []}, dtype="int64")
     order = np.lexsort((node, key))
     key, node, size = key[order], node[order], size[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])

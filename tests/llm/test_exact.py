@@ -208,6 +208,30 @@ def test_join_of_nothing(spark):
     assert sorted(tuple(r) for r in jaccard_join.near_duplicates(blank).collect()) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_regions_take_little_memory_beside_their_blocks(monkeypatch):
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(20):
+        which = np.repeat(np.arange(300, dtype="<u4"), 100)
+        keys = rng.integers(0, 1 << 32, len(which), dtype=np.uint64).astype("<u4")
+        keys[::100] = 7 << 20  # one region of every document
+        rows.append((0, keys.tobytes(), which.tobytes(), np.arange(300 * i, 300 * i + 300).tobytes(), np.full(300, 100).tobytes()))
+    pdf = pd.DataFrame(rows, columns=["part", "keys", "which", "nodes", "sizes"])
+    tracemalloc.start()
+    got = jaccard_join._regions(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got[got["region"] != -1]) == 6000 and (got["a"] == 0).sum() >= 6000
+    assert peak < 20 * 600_000  # bytes a signature
+    monkeypatch.setattr(jaccard_join, "RUN", 1 << 40)
+    whole = jaccard_join._regions(pdf)
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, whole.to_numpy().tolist()))
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(0)
     for _ in range(1500):
