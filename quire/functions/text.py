@@ -46,6 +46,17 @@ def is_blank(c: Column) -> Column:
     return F.length(squeeze(c)) == 0
 
 
+#: Letters whose upper case is several letters, with the single letter that stands for them in SQL's upper(): ẞ for ß, a title letter, or themselves.
+SINGLE_UPPER = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1}
+
+
+def upper(c: Column) -> Column:
+    """Upper case letter by letter: the length in characters stays, where F.upper makes SS of ß."""
+    single = F.create_map(*[F.lit(x) for pair in SINGLE_UPPER.items() for x in pair])
+    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(single, x), F.upper(x)))
+    return F.when(c.rlike(f"[{''.join(SINGLE_UPPER)}]"), F.array_join(letters, "")).otherwise(F.upper(c))
+
+
 def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 

@@ -44,7 +44,7 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, source, target: the first two words of benchmark texts, first of each lower-cased term."""
     first = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
     terms = read(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("ord"), first.alias("source"))
-    return terms.withColumn("rn", F.expr("row_number() OVER (PARTITION BY lower(source) ORDER BY ord)")).where("rn = 1").select("ord", "source", F.upper("source").alias("target"))
+    return terms.withColumn("rn", F.expr("row_number() OVER (PARTITION BY lower(source) ORDER BY ord)")).where("rn = 1").select("ord", "source", X.upper(F.col("source")).alias("target"))
 
 
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:

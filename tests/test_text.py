@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,3 +106,11 @@ def test_whole_files_and_decisions(spark, tmp_path):
         write_decisions(decided, str(tmp_path / "out"))
     write_decisions(decided, str(tmp_path / "out"), overwrite=True)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 0, "draw")]
+
+
+def test_upper_letter_by_letter(spark):
+    """As SQL has it: ß is ẞ, ligatures and ŉ stay, ᾳ is ᾼ."""
+    words = ["Erßie", "oﬁce", "ŉ", "ᾳ", "año ŭ", "", "𐐨x"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.upper(F.col("w")).alias("u")).collect()
+    assert {r["w"]: r["u"] for r in got} == dict(duckdb.execute("SELECT w, upper(w) FROM (SELECT unnest(?) AS w)", [words]).fetchall())
+    assert {r["w"]: r["u"] for r in got}["Erßie"] == "ERẞIE"
