@@ -16,15 +16,16 @@ MAX_NAMES = 499
 BUCKETS = 16
 
 
-def output_names(docs: DataFrame, suffix: str = ".bilingual", custom: str = "", storage: str = "", extension: str = ".pdf", overwrite: bool = False) -> DataFrame:
-    """docs(doc_id, mode, path) -> doc_id, mode, dir, path, in_storage: routed by mode, and numbered where names collide, up to MAX_NAMES; more are an error.
-    overwrite: names aren't numbered."""
+def output_names(docs: DataFrame, suffix: str = ".bilingual", custom: str = "", storage: str = "", extension: str = ".pdf", overwrite: bool = False, most: int | None = MAX_NAMES) -> DataFrame:
+    """docs(doc_id, mode, path) -> doc_id, mode, dir, path, in_storage: routed by mode, and numbered where names collide, up to most; more are an error.
+    most: None numbers all. overwrite: names aren't numbered."""
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     where = F.when(F.col("mode") == "custom", F.lit(custom.strip())).when(F.col("mode") == "storage", F.lit(storage)).otherwise(parent)
     rows = docs.select("doc_id", "mode", where.alias("dir"), X.safe_stem(X.file_stem(F.col("path"))).alias("stem"))
     rows = rows.withColumn("k", F.lit(1) if overwrite else F.row_number().over(Window.partitionBy("dir", "stem").orderBy("doc_id")))
     number = F.when(F.col("k") == 1, F.lit("")).otherwise(F.concat(F.lit(" ("), F.col("k").cast("string"), F.lit(")")))
-    number = F.when(F.col("k") > MAX_NAMES, F.raise_error(F.concat(F.lit("Too many outputs are named "), "dir", F.lit("/"), "stem"))).otherwise(number)
+    if most is not None:
+        number = F.when(F.col("k") > most, F.raise_error(F.concat(F.lit("Too many outputs are named "), "dir", F.lit("/"), "stem"))).otherwise(number)
     path = F.when(F.col("mode").isin("custom") & F.lit(not custom.strip()), F.raise_error(F.lit("No output folder is configured."))).otherwise(F.concat("dir", F.lit("/"), "stem", F.lit(suffix), number, F.lit(extension)))
     return rows.select("doc_id", "mode", "dir", path.alias("path"), (F.col("mode") == "storage").cast("int").alias("in_storage"))
 

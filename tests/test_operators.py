@@ -419,6 +419,13 @@ def test_too_many_names(spark):
     assert {r["path"] for r in output_names(df, overwrite=True).collect()} == {"/d/a.bilingual.pdf"}
 
 
+def test_names_of_a_whole_corpus(spark):
+    """Beyond MAX_NAMES equal names, numbers go on where no bound is asked for."""
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("same-dir").alias("mode"), F.lit("/d/a.pdf").alias("path"))
+    got = {r["doc_id"]: r["path"] for r in output_names(df, most=None).collect()}
+    assert got == {i: f"/d/a.bilingual{f' ({i + 1})' if i else ''}.pdf" for i in range(1200)}
+
+
 def test_structure_pages(spark, tmp_path):
     (tmp_path / "r.json").write_text("\n".join(json.dumps({"doc_id": "d", "page_index": i, "ord": 0, "text": "t"}) for i in range(5)))
     assert read_structure(spark, str(tmp_path / "r.json"), "runs", 2, 3).count() == 2
