@@ -109,11 +109,10 @@ def _(spark, d):
 
 def shown(spark, d):
     """Each line of a document sets a font (even lines only), and inside save and restore another one; it is shown in both, with micro signs for m and ligatures for f."""
-    u = V.units(spark, d)
     p = F.col("para_index")
-    chars = F.filter(F.split("source", ""), lambda c: c != "")
-    cast = lambda c: F.when(c == "m", F.lit("µ")).when(c == "f", F.lit("ﬁ")).otherwise(c)
-    glyph = F.transform(chars, lambda c, i: F.struct(cast(c).alias("unicode"), F.concat(F.lit("g"), c).alias("font_char"), (300.0 + (p * 7 + i) % 50).alias("width")))
+    parts = {"unicode": F.split(F.translate("source", "mf", "µﬁ"), ""), "font_char": F.transform(F.split("source", ""), lambda c: F.concat(F.lit("g"), c)), "width": F.transform(F.sequence(p * 7, p * 7 + F.length("source") - 1), lambda n: 300.0 + n % 50)}
+    u = V.units(spark, d).select("doc_id", "para_index", *[c.alias(n) for n, c in parts.items()]).withColumn("glyph", F.arrays_zip(*parts))
+    glyph = F.col("glyph")  # made once a line, and shown twice
     none = F.lit(None).cast("array<struct<unicode: string, font_char: string, width: double>>")
     step = lambda op, font=None, g=none: F.struct(F.lit(op).alias("op"), (F.lit(None).cast("string") if font is None else font).alias("font_id"), g.alias("glyphs"))
     outer, inner = F.concat(F.lit("A"), (p % 3).cast("string")), F.concat(F.lit("B"), (p % 2).cast("string"))

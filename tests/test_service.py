@@ -1,6 +1,7 @@
 """Settings, a service over HTTP on this machine, offline texts and glyphs on literal rows."""
 
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -89,3 +90,27 @@ def test_glyphs(spark):
     assert got[2] is None and got[3] is None and got[4] == [] and got[5] is None and got[6] is None
     drawn = spark.createDataFrame([("aé b",)], "t string").select(glyphs.blank_unmapped(F.col("t"), "[a-z ]").alias("d")).first()["d"]
     assert drawn == "a  b"
+
+
+def test_dictionary_is_shuffled_once(spark):
+    """Pages in pieces over partitions, operators out of order: equal to a plain loop, with one exchange and no row a glyph before it."""
+    rng, ops, want = random.Random(5), [], {}
+    for page in ((d, p) for d in range(6) for p in range(2)):
+        font, kept = "", []
+        for seq in range(40):
+            op = rng.choice(["showText", "showText", "setFont", "save", "restore", "stroke"])
+            named = rng.choice("AB") if op == "setFont" else None
+            shown = [(rng.choice(["a", "b", "ﬁ", "fi", "µ", "", "é"]), rng.choice(["", "x", "y"]), rng.random()) for _ in range(rng.randrange(5))] if op == "showText" else None
+            ops.append((*page, seq, op, named, shown))
+            font = named if op == "setFont" else kept.pop() if op == "restore" and kept else font
+            kept += [font] * (op == "save")
+            for u, c, w in shown or []:
+                for ch in [u, {"ﬁ": "fi", "µ": "μ"}.get(u)]:
+                    if u and c and ch:
+                        want.setdefault((*page, font, ch), (c, w))
+    rng.shuffle(ops)
+    df = spark.createDataFrame(ops, "doc_id long, page_index int, seq int, op string, font_id string, glyphs array<struct<unicode: string, font_char: string, width: double>>").repartition(7)
+    got = glyphs.glyph_dictionary(df)
+    assert {(r["doc_id"], r["page_index"], r["font_id"], r["ch"]): (r["font_char"], r["width"]) for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ("Join", "Aggregate", "Generate")) and plan.count("RepartitionByExpression") == 1
