@@ -114,3 +114,27 @@ def test_dictionary_is_shuffled_once(spark):
     assert {(r["doc_id"], r["page_index"], r["font_id"], r["ch"]): (r["font_char"], r["width"]) for r in got.collect()} == want and got.count() == len(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any(word in plan for word in ("Join", "Aggregate", "Generate")) and plan.count("RepartitionByExpression") == 1
+
+
+def test_positions_without_rows_of_characters(spark):
+    """Against a plain loop; texts are shuffled once and characters are never rows."""
+    rng = random.Random(6)
+    known = [(d, p, f, ch, f"g{ch}", float(rng.randrange(1, 9))) for d in range(4) for p in range(2) for f in "AB" for ch in ["a", "b", "μ", "fi", "😀"] if rng.random() < 0.8]
+    fonts = [(d, "A", 1000.0, None) for d in range(4)] + [(d, "B", 2000.0, 3.0) for d in range(3)]
+    runs = [(rng.randrange(4), rng.randrange(3), i, rng.choice(["A", "B", "C", None]), rng.choice([None, "", "".join(rng.choices("ab ﬁµ😀", k=rng.randrange(1, 6)))]), rng.choice([10.0, 7.5, None])) for i in range(300)]
+    space, widths, want = {(d, f): s or u / 4 for d, f, u, s in fonts}, {k[:4]: k[4:] for k in known}, {}
+    for d, p, i, f, text, width in runs:
+        got = [(None, space.get((d, f))) if c == " " else next((widths[d, p, f, k] for k in (c, {"ﬁ": "fi", "µ": "μ"}.get(c)) if (d, p, f, k) in widths), (None, None)) for c in text or ""]
+        if got and (d, f) in space and all(w is not None for _, w in got):
+            total = sum(w for _, w in got)
+            want[d, p, i] = [(c, None if width is None else sum(w for _, w in got[:k]) / total * width) for k, (c, _) in enumerate(got) if c]
+        else:
+            want[d, p, i] = None
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(5)
+    place = glyphs.glyph_positions(
+        frame(runs, "doc_id long, page_index int, id int, font_id string, text string, width double"), frame(known, "doc_id long, page_index int, font_id string, ch string, font_char string, width double"),
+        frame(fonts, "doc_id long, font_id string, units_per_em double, space_width double"),
+    )
+    assert {(r["doc_id"], r["page_index"], r["id"]): r["glyphs"] and [tuple(g) for g in r["glyphs"]] for r in place.collect()} == want and sum(v is not None for v in want.values()) > 10
+    plan = place._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ("Join", "Generate", "Window"))
