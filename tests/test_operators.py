@@ -449,3 +449,32 @@ def test_guards(spark):
     df = spark.createDataFrame([(1, "unchanged"), (1, "formula"), (1, "unchanged"), (2, "draw"), (3, "formula")], "doc_id long, reason string")
     got = {r["doc_id"]: r["message"] for r in report.nothing_rendered(df).collect()}
     assert list(got) == [1] and "- 2 paragraph(s) came back unchanged" in got[1]
+
+
+def test_paint_events_equal_the_trace(spark):
+    """Random operators over turned and shifted pages, some with forms, in pieces over partitions: bit for bit what trace yields, and pages without forms are never traced one by one."""
+    rng, ops, want = random.Random(8), [], []
+    number = lambda n: [rng.choice([0.0, -0.0, 0.5, 1.0, 3.0, 51.0, 255.0, rng.uniform(-9, 300)]) for _ in range(n)]
+    for page in range(60):
+        form = ["paintFormXObjectBegin", "paintFormXObjectEnd"] if page % 4 == 3 else []
+        sheet = (rng.choice([200.0, 300.0]), 400.0, rng.choice([0.0, 7.5]), rng.choice([0.0, -3.0]), rng.choice([0, 90, 180, 270]))
+        rows = []
+        for seq in range(rng.choice([1, 5, 60])):
+            op = rng.choice(["save", "save", "restore", "restore", "transform", "setFillGray", "setFillRGBColor", "setFillCMYKColor", "paintImageXObject", "stroke", "eoFill", "fill", "constructPath", "constructPath", "endPath", "other", *form])
+            args = number(rng.choice([6, 6, 6, 5, 4])) if op in ("transform", *form) else number(rng.choice([1, 3, 4])) if op.startswith("setFill") else None
+            args = [*args[:-1], None] if args and op.startswith("setFill") and rng.random() < 0.1 else args
+            bounds = rng.choice([None, number(4), number(4), [0.0, 1.0, None, 2.0], [1.0, 2.0, 3.0, float("inf")]]) if op == "constructPath" else number(4) if form and op == form[0] else None
+            rows.append({"op": op, "args": args, "bounds": bounds, "seq": seq})
+        ops += [(f"d{page % 7}", page, *r.values(), *sheet) for r in rows]
+        for what, since, until, box, color in folds.trace(rows, folds.Page(*sheet[:2], sheet[2:4], sheet[4])):
+            want.append((f"d{page % 7}", page, what, since, until, *box, *(color or (None,) * 3), *sheet[:2]))
+    rng.shuffle(ops)
+    df = spark.createDataFrame(ops, "doc_id string, page_index int, op string, args array<double>, bounds array<double>, seq int, width double, height double, x0 double, y0 double, turn int").repartition(5)
+    got = [tuple(r) for r in folds.paint_events(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len({w[2] for w in want}) == 4
+    called = []
+    rows = df.where("page_index % 4 <> 3").select("doc_id", "page_index", F.col("seq").cast("long"), F.lit(0).cast("byte").alias("code"), "args", "bounds", "width", "height", "x0", "y0", "turn").toArrow()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(folds, "trace", lambda *a: called.append(a) or [])
+        list(folds._events(rows, [0, rows.num_rows], None))
+    assert not called
