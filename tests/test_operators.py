@@ -478,3 +478,20 @@ def test_paint_events_equal_the_trace(spark):
         patch.setattr(folds, "trace", lambda *a: called.append(a) or [])
         list(folds._events(rows, [0, rows.num_rows], None))
     assert not called
+
+
+def test_regions_of_pages_in_place(spark):
+    """Pages that lie together already give the same regions without an exchange of operators; operators out of order are an error."""
+    rng, rows = random.Random(9), []
+    for page in range(40):
+        for k in range(rng.randrange(1, 9)):
+            x, y = rng.randrange(500), rng.randrange(700)
+            steps = [("setFillGray", [rng.choice([0.2, 1.0])], None), ("constructPath", None, [float(x), float(y), x + rng.choice([5.0, 60.0, 200.0]), y + rng.choice([1.0, 30.0, 90.0])]), (rng.choice(["fill", "stroke"]), None, None)]
+            rows += [(page, 0, k * 10 + i, *s, 700.0, 900.0) for i, s in enumerate(steps)]
+    ops = spark.createDataFrame(rows, "doc_id long, page_index int, seq long, op string, args array<double>, bounds array<double>, width double, height double")
+    together = ops.repartition(3, "doc_id").sortWithinPartitions("doc_id", "seq")
+    want = sorted(map(repr, folds.page_regions(ops.repartition(5)).collect()))
+    assert sorted(map(repr, folds.page_regions(together, in_place=True).collect())) == want and len(want) > 40
+    assert folds.paint_events(together, in_place=True)._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    with pytest.raises(Exception, match="in order"):
+        folds.paint_events(ops.repartition(1, "doc_id").sortWithinPartitions("doc_id", F.desc("seq")), in_place=True).collect()
